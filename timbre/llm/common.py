@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker tokenises at once; a longer single text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows up to which a side is broadcast after counting; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -118,11 +118,37 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real), counts[at - at[0]]
 
 
+_BYTE = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9FB21C651E98DF25)
+#: Bytes of a word that are hashed for all words at once; longer words are hashed one by one.
+_LONG = 48
+
+
 def hash_words(words: pa.Array) -> np.ndarray:
     """A 64-bit value for each word, the same wherever it is computed."""
-    coded = words.dictionary_encode()
-    names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    return names[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    size = np.diff(at)
+    out = size.astype(np.uint64) * _STEP
+    # byte k of every word that has one, k = 0, 1, ...: words by falling length, so that the rows left are a prefix
+    order = np.argsort(-np.minimum(size, _LONG + 1), kind="stable")
+    start, h = at[:-1][order], out[order]
+    left = np.searchsorted(-size[order], -np.arange(1, _LONG + 1), "right")
+    for k in range(_LONG):
+        m = int(left[k])
+        if not m:
+            break
+        x = h[:m]
+        x += _BYTE[data[start[:m] + k]]
+        x *= _STEP
+        x ^= x >> np.uint64(32)
+    out[order] = h
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i + 1]].tobytes())
+    return mix(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -11,12 +11,13 @@ holds the symbol, wherever the window occurs.
 1. Every window chooses one symbol among those it wholly determines, by a rule
    that depends on nothing else: equal windows choose equal symbols.  Runs of
    windows with one choice become one row (symbol, document).
-2. A distributed sort of these rows reveals symbols shared by documents.  The
-   sort deals by (symbol, document), so a symbol with very many rows spreads over
-   several tasks; a symbol that reaches a partition's edge counts as shared.
-   Exact copies are found in the same sort by whole-document names.
+2. Rows meet by symbol and reveal those that documents share.  Each task first
+   compares the rows it holds: of a symbol that it sees in several documents,
+   one row goes on to meet the other tasks' rows, and the rest are settled.  So a
+   symbol of a third of all documents sends as many rows as there are tasks.  Exact copies are
+   found on the same way, by whole-document names.
 3. Only windows whose symbol is shared are verified: by 128-bit values of their
-   whole word sequence, with the smallest document of each.
+   whole word sequence, in the same two steps, against the smallest document of each.
 """
 
 from __future__ import annotations
@@ -38,93 +39,92 @@ _TOP = np.uint64(1 << 63)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _runs(name, lo, hi, dlo, dhi, doc):
-    """Merge maximal runs of equal words; a run's stretch takes in the words beside it, which bound it."""
+def _runs(name, lo, hi, doc):
+    """Name maximal runs of equal words; a run's stretch takes in the words beside it, which bound it."""
     n = len(name)
     new = np.ones(n, bool)
     new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    end = np.append(at[1:], n)
-    size = end - at
-    named = np.where(size > 1, mix(name[at] ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), name[at])
-    d = doc[at]
+    at = np.flatnonzero(new).astype(np.int32)
+    end = np.append(at[1:], np.int32(n))
+    size, named, d = end - at, name[at], doc[at]
+    long = np.flatnonzero(size > 1)
+    named[long] = mix(named[long] ^ (size[long].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     # -1: nothing bounds the run on one side (a document's edge), so no window determines it
     bounded = np.zeros(len(at), bool)
     bounded[1:-1] = (d[1:-1] == d[:-2]) & (d[1:-1] == d[2:])
-    out_lo = np.where(bounded, dlo[np.maximum(at - 1, 0)], -1)
-    out_hi = np.where(bounded, dhi[np.minimum(end, n - 1)], -1)
-    return named, lo[at], hi[end - 1], out_lo, out_hi, d
+    return named, np.where(bounded, at - 1, -1), np.where(bounded, end + 1, -1), d
 
 
-def _pairs(name, lo, hi, dlo, dhi, doc, round_no):
-    """Merge neighbours (left side, right side); what stays alone depends on the neighbour that it did not merge with."""
+def _pairs(name, lo, hi, doc, round_no):
+    """Name neighbours (left side, right side); what stays alone depends on the neighbour that it did not merge with."""
     n = len(name)
-    side = (mix(name + np.uint64(round_no * 2 + 1)) >> np.uint64(63)).astype(bool)  # True: right side
-    same = doc[1:] == doc[:-1]
-    merge = np.zeros(n, bool)
-    merge[:-1] = same & ~side[:-1] & side[1:]
-    merged_right = np.zeros(n, bool)
-    merged_right[1:] = merge[:-1]
-    keep = ~merged_right
+    if n < 2:
+        return name, np.full(n, -1, np.int32), np.full(n, -1, np.int32), doc
+    side = ((name * np.uint64(0xC2B2AE3D27D4EB4F + 2 * round_no)) >> np.uint64(63)).astype(bool)  # True: right side
+    joined = doc[1:] == doc[:-1]  # of each gap: both sides in one document
+    merge = joined & ~side[:-1] & side[1:]
+    keep = np.ones(n, bool)
+    keep[1:] = ~merge
+    # the neighbour that decides: to the right for left-side symbols, to the left for right-side ones
+    known = np.zeros(n, bool)
+    known[:-1] = ~side[:-1] & joined
+    known[1:] |= side[1:] & joined
     at = np.flatnonzero(keep)
-    pair = merge[at]
-    nxt = np.minimum(at + 1, n - 1)
-    prv = np.maximum(at - 1, 0)
-    has_next = (at + 1 < n) & (doc[nxt] == doc[at])
-    has_prev = (at > 0) & (doc[prv] == doc[at])
-    named = np.where(pair, mix(name[at] * np.uint64(0xD6E8FEB86659FD93) + mix(name[nxt] ^ np.uint64(round_no + 0x51))), name[at])
-    right = side[at]
-    other = np.where(right, prv, nxt)
-    other = np.where(pair, nxt, other)
-    known = np.where(pair, True, np.where(right, has_prev, has_next)) & (dlo[at] >= 0) & (dlo[other] >= 0)
-    out_lo = np.where(known, np.minimum(dlo[at], dlo[other]), -1)
-    out_hi = np.where(known, np.maximum(dhi[at], dhi[other]), -1)
-    return named, lo[at], np.where(pair, hi[nxt], hi[at]), out_lo, out_hi, doc[at]
+    other = np.clip(np.where(side[at], at - 1, at + 1), 0, n - 1)
+    known = known[at] & (lo[at] >= 0) & (lo[other] >= 0)
+    named = name[at]
+    pair = np.flatnonzero(np.append(merge, False)[at])
+    named[pair] = mix(named[pair] * np.uint64(0xD6E8FEB86659FD93) + name[other[pair]])
+    return named, np.where(known, np.minimum(lo[at], lo[other]), -1), np.where(known, np.maximum(hi[at], hi[other]), -1), doc[at]
+
+
+_BASE = np.uint64(0xA0761D6478BD642F)
+_INVERSE = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
+
+
+def _stretches(names: np.ndarray):
+    """Value of the words from lo to hi, for arrays of bounds: differences of prefix sums, moved to a common origin."""
+    n = len(names)
+    up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]), dtype=np.uint64)
+    down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INVERSE)]), dtype=np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(names * up, dtype=np.uint64)])
+    return lambda lo, hi: (sums[hi] - sums[lo]) * down[lo]
 
 
 def window_symbols(names: np.ndarray, offsets: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> np.ndarray:
     """The symbol that each window chooses, by the window's first word; all ones where no window starts.
 
-    Preferred are symbols whose stretch takes about half the window: long
-    enough to be rare, short enough that many windows agree; among these the
-    smallest value.  Failing such, longer ones, then shorter ones down to a single word.
+    A symbol is valued together with the words it depends on.  Preferred are symbols
+    whose stretch takes about half the window: long enough to be rare, short enough
+    that many windows agree; among these the smallest value.  Failing such, longer
+    ones, then shorter ones down to a single word.
     """
     n = len(names)
     best = np.full(n, _NONE)
     if n == 0:
         return best
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = np.arange(n, dtype=np.int64)
+    doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    at = np.arange(n, dtype=np.int32)
     least, most = window // 2, window // 2 + 2
-    levels = [(names, at, at + 1, at, at + 1, doc)]
-    state = levels[0]
-    for r in range(rounds):
-        if r == 0:
+    klass = np.array([0] + [0 if least <= m <= most else 1 if m > most else 1 + least - m for m in range(1, window + 1)], np.uint64) << np.uint64(60)
+    stretch = _stretches(names)
+    # table[m - 1, p]: the best symbol whose stretch starts at p and has m words
+    table = np.full((window, n), _NONE)
+    state = (names, at, at + 1, doc)
+    for level in range(rounds + 1):
+        if level == 1:
             state = _runs(*state)
-        state = _pairs(*state, r)
-        levels.append(state)
-    # by_length[m][p]: the best symbol whose stretch starts at p and has m words
-    by_length = {}
-    for level, (name, _, _, dlo, dhi, _) in enumerate(levels):
-        size = dhi - dlo
-        ok = (dlo >= 0) & (size <= window)
-        for m in np.unique(size[ok]):
-            pick = np.flatnonzero(ok & (size == m))
-            klass = 0 if least <= m <= most else (1 if m > most else 2 + int(least - m))
-            value = (mix(name[pick] + np.uint64(level * 131 + int(m))) >> np.uint64(4)) | (np.uint64(klass) << np.uint64(60))
-            row = by_length.setdefault(int(m), np.full(n, _NONE))
-            np.minimum.at(row, dlo[pick], value)
-    upto = np.full(n, _NONE)
-    table = []
-    for m in range(1, window + 1):
-        if m in by_length:
-            upto = np.minimum(upto, by_length[m])
-        table.append(upto)
-    for j in range(window):  # a stretch that starts j words into the window has at most window - j words
-        row = table[window - 1 - j]
-        np.minimum(best[: n - j], row[j:], out=best[: n - j])
-    starts = at + window <= offsets[1:][doc] if len(doc) else np.zeros(0, bool)
-    best[~starts] = _NONE
+        if level:
+            state = _pairs(*state, level)
+        name, lo, hi, _ = state
+        pick = np.flatnonzero((lo >= 0) & (hi - lo <= window))
+        name, lo, hi = name[pick], lo[pick], hi[pick]
+        value = (mix(stretch(lo, hi) + name + np.uint64(level)) >> np.uint64(4)) | klass[hi - lo]
+        np.minimum.at(table.reshape(-1), (hi - lo - 1).astype(np.int64) * n + lo, value)
+    np.minimum.accumulate(table, axis=0, out=table)
+    for j in range(min(window, n)):  # a stretch that starts j words into the window has at most window - j words
+        np.minimum(best[: n - j], table[window - 1 - j, j:], out=best[: n - j])
+    best[at + window > offsets[1:][doc]] = _NONE
     return best
 
 
@@ -144,17 +144,80 @@ def _whole(names: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return both[:, 0], both[:, 1]
 
 
-def _ids(batch: pa.RecordBatch, a: int, b: int):
-    return batch.column("doc_id")[a:b], batch.column("rk")[a:b]
+#: Rows that a task holds to compare them with each other before it sends any on.
+_HELD = 1_500_000
+
 
+class _Rows:
+    """Columns of numpy arrays with the documents they belong to; a null doc_id is a flag beside a 0."""
+
+    def __init__(self, *kinds):
+        self.kinds, self.parts, self.size = kinds, [], 0
+
+    def add(self, ids: pa.Array, rks: pa.Array, rows: np.ndarray, *columns: np.ndarray) -> None:
+        known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+        did = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+        self.parts.append((did[rows], known[rows], rks.to_numpy(zero_copy_only=False)[rows], *columns))
+        self.size += len(rows)
+
+    def take(self) -> list[np.ndarray]:
+        out = [np.concatenate(x).astype(k) for x, k in zip(zip(*self.parts, strict=True), (np.int64, bool, np.int64, *self.kinds), strict=True)]
+        self.parts, self.size = [], 0
+        return out
+
+
+def _groups(keys: tuple[np.ndarray, ...], did: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in order of (keys, document): group number, and whether the row is of the group's first document, and the groups' starts and ends."""
+    new = np.ones(len(did), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    head = at[group]
+    return group, (did == did[head]) & (known == known[head]), at, np.append(at[1:], len(did)) - 1
 
-_SYMBOLS = "symbol long, whole long, doc_id long, rk long"
+
+def _doc_array(did: np.ndarray, known: np.ndarray) -> pa.Array:
+    return pa.array(did, pa.int64(), mask=~known)
+
+
+def _route(key: np.ndarray, sure: np.ndarray, did: np.ndarray, rk: np.ndarray) -> np.ndarray:
+    """Where a row goes: with its key, or anywhere if what it says is settled."""
+    return np.where(sure, mix((did + rk * 31 + np.arange(len(did))).view(np.uint64)).view(np.int64), key)
+
+
+_SYMBOLS = "route long, sure boolean, many boolean, symbol long, whole long, doc_id long, rk long"
 
 
 def _emit_symbols(window: int, rounds: int):
-    schema = pa.schema([("symbol", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("rk", pa.int64())])
+    names_ = ["route", "sure", "many", "symbol", "whole", "doc_id", "rk"]
+
+    def flush(rows: _Rows) -> pa.RecordBatch:
+        did, known, rk, symbol, whole = rows.take()
+        order = np.lexsort((rk, did, known, whole, symbol))
+        did, known, rk, symbol, whole = (x[order] for x in (did, known, rk, symbol, whole))
+        group, first, at, end = _groups((symbol, whole), did, known)
+        many = (~first[end])[group]
+        # a symbol of several documents here is shared for certain: one row goes to meet the other tasks' rows
+        lead = np.zeros(len(did), bool)
+        lead[at] = True
+        sure = np.where(whole == 0, many & ~lead, ~first)
+        again = np.zeros(len(did), bool)  # one row for each document of a group is enough
+        again[1:] = (group[1:] == group[:-1]) & (did[1:] == did[:-1]) & (known[1:] == known[:-1]) & (rk[1:] == rk[:-1])
+        # documents known to copy an earlier one send no symbols
+        copies = np.unique(np.stack([did, rk], 1)[(whole != 0) & sure], axis=0)
+        drop = again
+        if len(copies):
+            mine = mix(did.view(np.uint64)) ^ rk.view(np.uint64)
+            gone = mix(copies[:, 0].copy().view(np.uint64)) ^ copies[:, 1].copy().view(np.uint64)
+            drop = again | ((whole == 0) & sure & np.isin(mine, gone))
+        keep = ~drop
+        did, known, rk, symbol, whole, sure, many = (x[keep] for x in (did, known, rk, symbol, whole, sure, many))
+        return pa.RecordBatch.from_arrays([pa.array(_route(symbol, sure, did, rk)), pa.array(sure), pa.array(many), pa.array(symbol), pa.array(whole), _doc_array(did, known), pa.array(rk)], names=names_)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(np.int64, np.int64)
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 words, offsets = split_words(batch.column("text")[a:b])
@@ -169,111 +232,133 @@ def _emit_symbols(window: int, rounds: int):
                 # a document's own name is a row with the second half of it in "whole", which is 0 for symbols
                 symbol = np.concatenate([best[at].view(np.int64), w1[long]])
                 whole = np.concatenate([np.zeros(len(at), np.int64), w2[long] | 1])
-                rows = pa.array(np.concatenate([doc[at], long]), pa.int64())
-                ids, rks = _ids(batch, a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(symbol), pa.array(whole), ids.take(rows), rks.take(rows)], schema=schema)
+                rows.add(batch.column("doc_id")[a:b], batch.column("rk")[a:b], np.concatenate([doc[at], long]), symbol, whole)
+                if rows.size >= _HELD:
+                    yield flush(rows)
+        if rows.size:
+            yield flush(rows)
 
     return emit
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by (symbol, whole, document): rows of shared symbols, and rows of documents that copy an earlier one."""
-    schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("symbol", pa.int64()), ("copy", pa.bool_())])
-
-    def groups(table: pa.Table, edge_start: bool, edge_end: bool) -> pa.RecordBatch:
-        s, w = table["symbol"].to_numpy(), table["whole"].to_numpy()
-        d, nul = pc.fill_null(table["doc_id"], 0).to_numpy(), pc.is_null(table["doc_id"]).to_numpy(zero_copy_only=False)
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (w[1:] != w[:-1])
-        at = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        end = np.append(at[1:], len(s)) - 1
-        many = (d[at] != d[end]) | (nul[at] != nul[end])
-        if edge_start:
-            many[0] = True
-        if edge_end:
-            many[-1] = True
-        symbol = (w == 0) & many[group]
-        head = at[group]
-        copy = (w != 0) & ((d != d[head]) | (nul != nul[head]))
-        pick = np.flatnonzero(symbol | copy)
-        out = table.take(pa.array(pick))
-        return pa.RecordBatch.from_arrays([out["doc_id"].combine_chunks(), out["rk"].combine_chunks(), out["symbol"].combine_chunks(), pa.array(copy[pick])], schema=schema)
-
-    # groups may cross batches: the last group's rows wait for the next batch
-    held, first = None, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-        s, w = table["symbol"].to_numpy(), table["whole"].to_numpy()
-        change = np.flatnonzero((s[1:] != s[:-1]) | (w[1:] != w[:-1]))
-        if not len(change):
-            held = table
-            continue
-        cut = int(change[-1]) + 1
-        yield groups(table[:cut], first, False)
-        held, first = table[cut:], False
-    if held is not None and len(held):
-        yield groups(held, first, True)
-
-
-def _verify(window: int, rounds: int):
-    """Of documents with their shared symbols: the windows to verify."""
-    schema = pa.schema([("v1", pa.int64()), ("v2", pa.int64()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("start", pa.int32())])
+def _numpy(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    did = batch.column("doc_id")
+    return [pc.fill_null(did, 0).to_numpy(zero_copy_only=False), pc.is_valid(did).to_numpy(zero_copy_only=False), *(batch.column(n).to_numpy(zero_copy_only=False) for n in names)]
+
+
+def _by_key(keys: list[str], judge):
+    """Arrow function over a partition sorted by (sure, keys, document): ``judge`` sees whole groups of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            block = table.to_batches()[0]
+            cols = [block.column(k).to_numpy(zero_copy_only=False) for k in ["sure", *keys]]
+            change = np.zeros(block.num_rows - 1, bool)
+            for c in cols:
+                change |= c[1:] != c[:-1]
+            where = np.flatnonzero(change)
+            if not len(where):
+                held = block
+                continue
+            cut = int(where[-1]) + 1
+            yield judge(block.slice(0, cut))
+            held = block.slice(cut)
+        if held is not None and held.num_rows:
+            yield judge(held)
+
+    return run
+
+
+def _shared(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of shared symbols, and of documents that copy an earlier one."""
+    did, known, rk, symbol, whole, sure, many = _numpy(batch, "rk", "symbol", "whole", "sure", "many")
+    group, first, at, end = _groups((symbol, whole, sure), did, known)
+    any_many = np.bitwise_or.reduceat(many, at)[group] if len(at) else many
+    shared = sure | np.where(whole == 0, any_many | (~first[end])[group], ~first)
+    pick = np.flatnonzero(shared)
+    return pa.RecordBatch.from_arrays([_doc_array(did[pick], known[pick]), pa.array(rk[pick]), pa.array(symbol[pick]), pa.array(whole[pick] != 0)], names=["doc_id", "rk", "symbol", "copy"])
+
+
+_WINDOWS = "route long, sure boolean, v1 long, v2 long, doc_id long, rk long, start int"
+
+
+def _emit_windows(window: int, rounds: int):
+    """Of documents with their shared symbols: the windows that chose one, by the values of their words."""
+
+    def flush(rows: _Rows) -> pa.RecordBatch:
+        did, known, rk, v1, v2, start = rows.take()
+        order = np.lexsort((did, known, v2, v1))
+        did, known, rk, v1, v2, start = (x[order] for x in (did, known, rk, v1, v2, start))
+        _, first, _, _ = _groups((v1, v2), did, known)
+        sure = ~first  # an earlier document of this task has the window: nothing left to find out
+        route = _route(v1, sure, did, rk)
+        v1[sure], v2[sure] = 0, 0
+        return pa.RecordBatch.from_arrays([pa.array(route), pa.array(sure), pa.array(v1), pa.array(v2), _doc_array(did, known), pa.array(rk), pa.array(start)], names=["route", "sure", "v1", "v2", "doc_id", "rk", "start"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(np.int64, np.int64, np.int32)
         for batch in batches:
             lists = batch.column("symbols")
             for a, b in slices(batch.column("text")):
                 words, offsets = split_words(batch.column("text")[a:b])
                 names = hash_words(words)
-                best = window_symbols(names, offsets, window, rounds).view(np.int64)
+                best = window_symbols(names, offsets, window, rounds)
+                known = best != _NONE
+                best = best.view(np.int64)
                 pick = np.zeros(len(best), bool)
                 for i in range(b - a):
                     p, q = offsets[i], offsets[i + 1]
                     if q - p >= window:
                         pick[p:q] = np.isin(best[p:q], lists[a + i].values.to_numpy(zero_copy_only=False))
-                pick &= best != _NONE.astype(np.int64)
-                at = np.flatnonzero(pick)
+                at = np.flatnonzero(pick & known)
                 doc = np.repeat(np.arange(b - a), np.diff(offsets))[at]
-                ids, rks = _ids(batch, a, b)
-                rows = pa.array(doc, pa.int64())
                 v1, v2 = (window_values(names, window, seed, at).view(np.int64) for seed in (11, 12))
-                yield pa.RecordBatch.from_arrays([pa.array(v1), pa.array(v2), ids.take(rows), rks.take(rows), pa.array((at - offsets[doc]).astype(np.int32))], schema=schema)
+                rows.add(batch.column("doc_id")[a:b], batch.column("rk")[a:b], doc, v1, v2, at - offsets[doc])
+                if rows.size >= _HELD:
+                    yield flush(rows)
+        if rows.size:
+            yield flush(rows)
 
     return emit
 
 
+def _repeated(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Windows that a document with a smaller id has too."""
+    did, known, rk, v1, v2, sure, start = _numpy(batch, "rk", "v1", "v2", "sure", "start")
+    _, first, _, _ = _groups((v1, v2, sure), did, known)
+    pick = np.flatnonzero(sure | ~first)
+    return pa.RecordBatch.from_arrays([_doc_array(did[pick], known[pick]), pa.array(rk[pick]), pa.array(start[pick])], names=["doc_id", "rk", "start"])
+
+
 def _cut(window: int):
     """Documents with what is left of their words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, copy = batch.column("starts"), batch.column("copy")
             for a, b in slices(batch.column("text")):
                 words, offsets = split_words(batch.column("text")[a:b])
-                counts, removed, kept = [], [], []
+                counts = np.diff(offsets)
+                gone = np.zeros(len(words) + 1, np.int64)
                 for i in range(a, b):
-                    own = words[int(offsets[i - a]) : int(offsets[i - a + 1])]
-                    n = len(own)
-                    gone = np.zeros(n + 1, np.int64)
-                    if copy[i].as_py() and n >= window:
-                        gone[:n] = 1
+                    p, q = offsets[i - a], offsets[i - a + 1]
+                    if copy[i].as_py() and q - p >= window:
+                        gone[p] += 1
+                        gone[q] -= 1
                     elif starts[i].is_valid:
-                        s = starts[i].values.to_numpy(zero_copy_only=False)
+                        s = p + starts[i].values.to_numpy(zero_copy_only=False)
                         np.add.at(gone, s, 1)
                         np.add.at(gone, s + window, -1)
-                        gone = np.cumsum(gone)
-                    stays = gone[:n] == 0
-                    counts.append(n)
-                    removed.append(n - int(stays.sum()))
-                    left = own if stays.all() else own.filter(pa.array(stays))
-                    kept.append(" ".join(left.to_pylist()))
-                ids, rks = _ids(batch, a, b)
-                yield pa.RecordBatch.from_arrays([ids, rks, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=schema)
+                stays = np.cumsum(gone)[:-1] == 0
+                left = np.concatenate([[0], np.cumsum(stays)])[offsets]
+                kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), words.filter(pa.array(stays))), " ")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id")[a:b], batch.column("rk")[a:b], pa.array(counts.astype(np.int64)), pa.array((counts - np.diff(left)).astype(np.int64)), kept], names=["doc_id", "rk", "n_words", "n_removed", "kept"]
+                )
 
     return emit
 
@@ -291,19 +376,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     symbols = slim.mapInArrow(_emit_symbols(window, rounds), _SYMBOLS)
-    ranged = symbols.repartitionByRange(parts, "symbol", "whole", "doc_id").sortWithinPartitions("symbol", "whole", "doc_id")
-    shared = materialize(ranged.mapInArrow(_shared, "doc_id long, rk long, symbol long, copy boolean"))
+    met = symbols.repartition(parts, "route").sortWithinPartitions("sure", "symbol", "whole", "doc_id")
+    shared = materialize(met.mapInArrow(_by_key(["symbol", "whole"], _shared), "doc_id long, rk long, symbol long, copy boolean"))
     # the texts travel by document once: both joins below read one exchange
     by_doc = shared.groupBy(F.col("doc_id").alias("s_doc"), F.col("rk").alias("s_rk")).agg(
-        F.bool_or("copy").alias("copy"), F.collect_set(F.when(~F.col("copy"), F.col("symbol"))).alias("symbols")
+        F.bool_or("copy").alias("copy"), F.collect_list(F.when(~F.col("copy"), F.col("symbol"))).alias("symbols")
     )
-    here = F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("rk") == F.col("s_rk"))
-    held = slim.join(by_doc, here, "left")
-    windows = held.where("not copy and size(symbols) > 0").select("doc_id", "rk", "text", "symbols").mapInArrow(_verify(window, rounds), "v1 long, v2 long, doc_id long, rk long, start int")
-    order = F.struct("doc_id")
-    least = windows.groupBy("v1", "v2").agg(F.min(order).alias("least"), F.max(order).alias("most")).where("least < most").drop("most")
-    repeated = windows.join(least, ["v1", "v2"]).where(F.col("least") < order)
-    starts = repeated.groupBy(F.col("doc_id").alias("w_doc"), F.col("rk").alias("w_rk")).agg(F.collect_set("start").alias("starts"))
+    held = slim.join(by_doc, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("rk") == F.col("s_rk")), "left")
+    windows = held.where("not copy and size(symbols) > 0").select("doc_id", "rk", "text", "symbols").mapInArrow(_emit_windows(window, rounds), _WINDOWS)
+    met = windows.repartition(parts, "route").sortWithinPartitions("sure", "v1", "v2", "doc_id")
+    repeated = met.mapInArrow(_by_key(["v1", "v2"], _repeated), "doc_id long, rk long, start int")
+    starts = repeated.groupBy(F.col("doc_id").alias("w_doc"), F.col("rk").alias("w_rk")).agg(F.collect_list("start").alias("starts"))
     there = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("rk") == F.col("w_rk"))
     out = held.join(starts, there, "left").select("doc_id", "rk", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
     return out.mapInArrow(_cut(window), "doc_id long, rk long, n_words long, n_removed long, kept string").drop("rk")
