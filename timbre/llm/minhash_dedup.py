@@ -9,8 +9,8 @@
    threshold; below the chosen miss probability the candidate goes.  Survivors are
    verified exactly on the shingle sets of the whole texts.
 4. Components of the verified links; buckets that still hold several components
-   are then compared completely, block by block inside array code: only
-   survivors of the signature test become rows, and are verified exactly too.
+   are then compared completely, block by block inside array code, with the same
+   signature test and the same exact check: only links become rows.
 
 With 32 bands of 4 values a pair of similarity 0.8 shares no band with a chance below 1e-7.
 """
@@ -172,24 +172,88 @@ def _exact(size: int, percent: int):
     return exact
 
 
-def _compare_blocks(threshold: float, miss: float, count: int):
-    """Of two blocks of one bucket (or one block with itself): pairs across components that survive the signatures."""
+def _sets(size: int):
+    """Whole shingle sets of (node, text)."""
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                words, offsets = split_words(pc.ascii_lower(_plain(batch.column("text")[a:b])))
+                values, at = shingle_values(hash_words(words), offsets, size)
+                sets = [values[at[i] : at[i + 1]].tobytes() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column("node")[a:b], pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return run
+
+
+class _Block:
+    """Members of a bucket: nodes, components, signatures, and shingle sets one after the other."""
+
+    def __init__(self, rows: pa.StructArray, count: int, rows_per_band: int):
+        self.nodes, self.comps = (rows.field(f).to_pylist() for f in ("node", "comp"))
+        self.sig = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint32).reshape(-1, count)
+        self.bands = self.sig.reshape(len(self.nodes), -1, rows_per_band)
+        held = rows.field("set").to_pylist()
+        self.size = np.array([len(x) // 8 for x in held], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.values = np.frombuffer(b"".join(held), np.uint64)
+
+
+def _compare(left: _Block, right: _Block, same: bool, band: int, percent: int, miss: float) -> list[tuple[bytes, bytes]]:
+    """Verified links that join components, found between two blocks of one bucket; at most a spanning forest of them.
+
+    A pair is looked at only in the first band that it shares, so once over all
+    buckets; signatures are compared batch by batch first, the survivors' sets in full.
+    """
+    parent: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (y := parent.get(x, x)) != x:
+            x = y
+        return x
+
+    codes = np.unique(np.concatenate([left.values, right.values]), return_inverse=True)[1]
+    own, other = codes[: len(left.values)], codes[len(left.values) :]
+    mark = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    out = []
+    for i, node in enumerate(left.nodes):
+        root = find(left.comps[i])
+        js = np.array([j for j in range(i + 1 if same else 0, len(right.nodes)) if find(right.comps[j]) != root], np.int64)
+        if not len(js):
+            continue
+        small, large = np.minimum(left.size[i], right.size[js]), np.maximum(left.size[i], right.size[js])
+        js = js[100 * small >= percent * large]
+        if band:
+            earlier = (left.bands[i, :band] == right.bands[js, :band]).all(2).any(1)
+            js = js[~earlier]
+        js = js[bayes_survivors(np.broadcast_to(left.sig[i], (len(js), left.sig.shape[1])), right.sig[js], percent / 100, miss)]
+        if not len(js):
+            continue
+        mine = own[left.at[i] : left.at[i + 1]]
+        mark[mine] = True
+        for j in js:
+            if find(right.comps[j]) == find(left.comps[i]):
+                continue
+            both = int(mark[other[right.at[j] : right.at[j + 1]]].sum())
+            if 100 * both >= percent * (left.size[i] + right.size[j] - both):
+                parent[find(right.comps[j])] = find(left.comps[i])
+                out.append((node, right.nodes[j]))
+        mark[mine] = False
+    return out
+
+
+def _compare_blocks(percent: int, miss: float, count: int, rows_per_band: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lefts, rights, same, band = (batch.column(c) for c in ("left", "right", "same", "band"))
             out = []
-            for left, right, same in zip(f["left"], f["right"], f["same"], strict=True):
-                sl, sr = (np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(-1, count) for rows in (left, right))
-                cl, cr = ([bytes(r["comp"]) for r in rows] for rows in (left, right))
-                cr = np.array(cr, object)
-                for i in range(len(left)):
-                    other = np.flatnonzero(cr != cl[i])
-                    other = other[other > i] if same else other
-                    for j in other[bayes_survivors(np.broadcast_to(sl[i], (len(other), count)), sr[other], threshold, miss)]:
-                        out.append((bytes(left[i]["node"]), bytes(right[j]["node"])))
-            yield pd.DataFrame(out, columns=["a", "b"])
+            for k in range(batch.num_rows):
+                left = _Block(lefts[k].values, count, rows_per_band)
+                right = left if same[k].as_py() else _Block(rights[k].values, count, rows_per_band)
+                out += _compare(left, right, same[k].as_py(), band[k].as_py(), percent, miss)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
 
-    return compare
+    return run
 
 
 class NearDuplicates:
@@ -206,19 +270,22 @@ class NearDuplicates:
         )
 
     def _buckets(self) -> DataFrame:
-        """(bucket, node, leader, n) for buckets of two classes or more."""
+        """(bucket, band, node, leader, n) for buckets of two classes or more."""
         width = 4 * self.rows
         bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(self.bands)))
-        members = self.classes.select("node", F.explode(bands).alias("bucket"))
+        members = self.classes.select("node", F.posexplode(bands).alias("band", "bucket"))
         leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
         return materialize(members.join(leaders, "bucket"))
 
+    def _texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) of distinct ``nodes``: one text for each class."""
+        need = materialize(nodes.join(self.classes.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("n_doc"), F.col("first.rk").alias("n_rk")))
+        same = F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("rk") == F.col("n_rk"))
+        return self.texts.join(small(need), same).dropDuplicates(["node"]).select("node", "text")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Of ``pairs(a, b)``, already pruned by signatures: those whose full sets reach the threshold."""
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        need = materialize(need.join(self.classes.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("n_doc"), F.col("first.rk").alias("n_rk")))
-        same = F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("rk") == F.col("n_rk"))
-        texts = self.texts.join(small(need), same).dropDuplicates(["node"]).select("node", "text")
+        texts = self._texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(self.size, self.percent), "a binary, b binary"))
@@ -229,25 +296,29 @@ class NearDuplicates:
         return materialize(both.mapInPandas(_prune(self.percent / 100, self.miss, self.count), "a binary, b binary"))
 
     def _rest(self, buckets: DataFrame, comps: DataFrame) -> DataFrame:
-        """Pairs across components in buckets that hold several, which survive the signatures."""
+        """Verified links across components, from the buckets that hold several components.
+
+        A bucket's members are dealt into blocks; each pair of its blocks is one
+        row of array work, which gives at most as many links as it has members.
+        """
         at = buckets.join(comps.select("node", F.col("comp").alias("c")), "node", "left").withColumn("comp", F.coalesce("c", "node"))
         open_ = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-        # several bands often hold the same classes: one bucket of each set of members is enough
-        left = at.join(open_.select("bucket", "m"), "bucket")
-        kinds = left.groupBy("bucket").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s2"), F.count("*").alias("k"))
-        left = left.join(kinds.groupBy("s1", "s2", "k").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
-        left = left.join(self.classes.select("node", "sig"), "node")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        left = left.withColumn("of", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("of")).cast("int"))
-        packed = left.groupBy("bucket", "block", "of").agg(F.collect_list(F.struct("node", "comp", "sig")).alias("rows"))
-        every = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-        key = [F.col("bucket"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")]
-        sides = every.select(*key, (F.col("block") <= F.col("o")).alias("is_left"), (F.col("block") >= F.col("o")).alias("is_right"), "rows")
-        l = sides.where("is_left").select("bucket", "i", "j", F.col("rows").alias("left"))
-        r = sides.where("is_right").select("bucket", "i", "j", F.col("rows").alias("right"))
-        both = l.join(r, ["bucket", "i", "j"]).select("left", "right", (F.col("i") == F.col("j")).alias("same"))
-        found = both.mapInPandas(_compare_blocks(self.percent / 100, self.miss, self.count), "a binary, b binary")
-        return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        left = materialize(at.join(open_.select("bucket", "m"), "bucket").select("bucket", "band", "node", "comp", "m"))
+        nodes = left.select("node").distinct()
+        sets = self._texts(nodes).mapInArrow(_sets(self.size), "node binary, set binary")
+        held = sets.join(self.classes.select("node", "sig"), "node")
+        left = left.join(held, "node")
+        left = left.withColumn("of", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("of")).cast("int"))
+        packed = left.groupBy("bucket", "band", "block", "of").agg(F.collect_list(F.struct("node", "comp", "sig", "set")).alias("rows"))
+        work = _compare_blocks(self.percent, self.miss, self.count, self.rows)
+        links = "a binary, b binary"
+        alone = packed.where("of = 1").select(F.col("rows").alias("left"), F.col("rows").alias("right"), F.lit(True).alias("same"), "band")
+        every = packed.where("of > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+        key = [F.col("bucket"), F.col("band"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")]
+        l = every.where("block <= o").select(*key, F.col("rows").alias("left"))
+        r = every.where("block >= o").select(*key, F.col("rows").alias("right"))
+        pairs = l.join(r, ["bucket", "band", "i", "j"]).select("left", "right", (F.col("i") == F.col("j")).alias("same"), "band")
+        return materialize(alone.mapInArrow(work, links).unionByName(pairs.mapInArrow(work, links)))
 
     def components(self) -> DataFrame:
         """(doc_id, rk, n_shingles, component_id) for each row of the documents."""
@@ -258,9 +329,7 @@ class NearDuplicates:
         comps = materialize(connected_components(links))
         more = self._rest(buckets, comps)
         if more.limit(1).count():
-            more = self._verified(more)
-            if more.limit(1).count():
-                comps = materialize(connected_components(links.unionByName(more)))
+            comps = materialize(connected_components(links.unionByName(more)))
         of = self.classes.select("node", F.col("least").alias("f")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = of.groupBy("comp").agg(F.min("f").alias("component_id"))
         named = of.join(least, "comp").select("node", "component_id")
