@@ -43,6 +43,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Hold the batches that this session sends to Python workers to ``rows`` rows and ``size`` bytes.
+
+    Texts and packed blocks are wide rows; the default of 10,000 rows would fill a worker.
+    """
+    for name, limit in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= limit:
+            spark.conf.set(key, str(limit))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a materialised ``df`` only when it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, row_key
+from .common import ascii_lower, bounded_batches, materialize, row_key
 
 BLOCK_CHARS = 4096
 
@@ -118,6 +118,7 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     same text are all kept.  Other columns are ignored; an empty table gives an
     empty result.
     """
+    bounded_batches(docs.sparkSession)
     names = block_names(docs, block_chars)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", row_key().alias("rk"), F.sha2(ascii_lower(text), 256).alias("text_sha256"))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialize, slices, split_words
+from .common import bounded_batches, hash_words, materialize, slices, split_words
 
 SLOTS = 1 << 16
 HEADER_LINES = 20
@@ -144,6 +144,7 @@ def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None
     templates = TEMPLATES if templates is None else templates
     taken = {"path", "text", "license", "score", "how", "from_dir"}
     rest = [c for c in files.columns if c.lower() not in taken]
+    bounded_batches(files.sparkSession)
     total, df = document_frequencies(files)
     matcher = _Matcher(total, df, templates)
     schema_rest = files.select(*(F.col(f"`{c}`") for c in rest)).schema

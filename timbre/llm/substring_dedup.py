@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialize, mix, odd_keys, row_key, slices, split_words
+from .common import bounded_batches, hash_words, materialize, mix, odd_keys, row_key, slices, split_words
 
 WINDOW = 13
 ROUNDS = 3
@@ -145,7 +145,7 @@ def _whole(names: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 #: Rows that a task holds to compare them with each other before it sends any on.
-_HELD = 1_500_000
+_HELD = 700_000
 
 
 class _Rows:
@@ -373,6 +373,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     is smaller than all others; rows that repeat a doc_id do not remove each
     other's words.  Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     symbols = slim.mapInArrow(_emit_symbols(window, rounds), _SYMBOLS)

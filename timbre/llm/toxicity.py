@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words
+from .common import bounded_batches, slices, split_words
 
 TRAIN_ROWS = 6000
 FOLDS = 4
@@ -218,5 +218,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] |
     """
     if categories is None:
         categories = {"junk": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    bounded_batches(docs.sparkSession)
     scored = score(docs.drop("rejected"), train(docs, labels, categories, rows))
     return scored.withColumn("rejected", F.col(f"p_{reject}") >= threshold)
