@@ -12,10 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 CANDIDATES_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 256
 #: Beyond this the sum of products might not fit 64 bits; such blocks are scored with Python integers.
@@ -29,19 +32,23 @@ def _packed(rows: DataFrame, per_block: int, seed: int) -> DataFrame:
     return rows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("vec_id", "terms")).alias("rows"))
 
 
-def _matrix(rows) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids = np.array([r["vec_id"] for r in rows], np.int64)
-    return ids, [np.asarray(r["terms"], np.float64) for r in rows]
+def _unpack(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, all terms one vector after the other, and each vector's length."""
+    terms = rows.field("terms")
+    return rows.field("vec_id").to_numpy(zero_copy_only=False), terms.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _postings(vectors: list[np.ndarray], kind) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each term, the positions that hold it and their weights."""
-    out = []
-    for t in range(max((len(v) for v in vectors), default=0)):
-        at = np.array([i for i, v in enumerate(vectors) if len(v) > t and v[t]], np.int64)
-        weights = [vectors[i][t] for i in at]
-        out.append((at, np.array([int(w) for w in weights], object) if kind is object else np.array(weights, np.int64)))
-    return out
+def _postings(values: np.ndarray, sizes: np.ndarray, kind) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each term, the positions that hold it and their weights; zero weights have no posting."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    term = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    held = values != 0
+    row, term, values = row[held], term[held], values[held]
+    order = np.argsort(term, kind="stable")
+    row, values = row[order], values[order]
+    ends = np.cumsum(np.bincount(term, minlength=int(sizes.max(initial=0))))
+    weights = np.array([int(v) for v in values], object) if kind is object else values.astype(np.int64)
+    return [(row[a:b], weights[a:b]) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)] if len(ends) else []
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
@@ -57,30 +64,25 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
 
 
 def _score_blocks(k: int):
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for queries, candidates in zip(frame["q_rows"], frame["c_rows"], strict=True):
-                q_ids, qs = _matrix(queries)
-                c_ids, cs = _matrix(candidates)
-                dims = max((len(v) for v in [*qs, *cs]), default=0)
-                top = max((np.abs(v).max() for v in qs if len(v)), default=0) * max((np.abs(v).max() for v in cs if len(v)), default=0)
-                kind = np.int64 if top * max(dims, 1) < _SAFE else object
-                scores = np.zeros((len(qs), len(cs)), kind)
-                of_query = _postings(qs, kind)
-                for t, (at, weights) in enumerate(_postings(cs, kind)):
-                    if t >= len(of_query) or not len(at):
-                        continue
-                    dense = len(at) == len(cs)
-                    for q, w in zip(*of_query[t], strict=True):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                q_ids, q_values, q_sizes = _unpack(batch.column("q_rows")[n].values)
+                c_ids, c_values, c_sizes = _unpack(batch.column("c_rows")[n].values)
+                top = np.abs(q_values).max(initial=0) * np.abs(c_values).max(initial=0) * max(int(c_sizes.max(initial=0)), 1)
+                kind = np.int64 if top < _SAFE else object
+                scores = np.zeros((len(q_ids), len(c_ids)), kind)
+                for (q_at, q_weights), (at, weights) in zip(_postings(q_values, q_sizes, kind), _postings(c_values, c_sizes, kind), strict=False):
+                    dense = len(at) == len(c_ids)
+                    for q, w in zip(q_at, q_weights, strict=True):
                         if dense:
                             scores[q] += w * weights
                         else:
                             scores[q, at] += w * weights
-                out = []
+                out: list[tuple[int, int, int]] = []
                 for i, own in enumerate(q_ids):
-                    best = _best(scores[i], c_ids, own, k)
-                    out += [(int(own), int(c_ids[j]), max(-(1 << 63), min((1 << 63) - 1, int(scores[i, j])))) for j in best]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                    out += [(int(own), int(c_ids[j]), max(-(1 << 63), min((1 << 63) - 1, int(scores[i, j])))) for j in _best(scores[i], c_ids, own, k)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     return score
 
@@ -97,6 +99,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     a repeated query id is asked once, with its largest vector.  Scores
     beyond 64 bits are held at the limits.  Other columns are ignored.
     """
+    bounded_batches(vectors.sparkSession)
     x = F.col("embedding")
     fit = F.coalesce(~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf"))), F.lit(False))
     # floor() would give a long; x - pmod keeps a double, exact at any size
@@ -110,6 +113,6 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     q = qs.select(F.col("block").alias("qb"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
     c = cs.select(F.col("block").alias("cb"), F.col("rows").alias("c_rows"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
     pairs = q.join(c, ["qb", "cb"]).select("q_rows", "c_rows")
-    found = pairs.mapInPandas(_score_blocks(k), "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(_score_blocks(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
