@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def canonical_json(value: Any) -> str:
@@ -20,7 +21,7 @@ def canonical_sha256(value: Any) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def digest_json(document: pd.Series) -> pd.Series:
     """Canonical digest of a JSON text (numbers as Python prints them, nulls kept)."""
     return document.map(lambda t: None if t is None else canonical_sha256(json.loads(t)))

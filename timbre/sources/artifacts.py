@@ -19,8 +19,7 @@ def fingerprint(spark: SparkSession, path: str, role: str, kind: str) -> DataFra
         return records.select(F.lit(role).alias("role"), F.lit(kind).alias("kind"), "sha256", "bytes", F.lit(None).cast("long").alias("file_count"))
     if kind != "tree":
         raise ValueError(f"unknown artifact kind: {kind}")
-    base = F.lit(path.rstrip("/") + "/")
-    name = F.substring_index("path", base, -1)
+    name = F.substring_index("path", path.rstrip("/") + "/", -1)
     line = F.concat(F.lit('{"bytes":'), F.col("bytes").cast("string"), F.lit(',"path":"'), name, F.lit('","sha256":"'), F.col("sha256"), F.lit('"}\n'))
     tree = records.agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("lines"), F.sum("bytes").alias("bytes"), F.count("*").alias("file_count"))
     return tree.select(F.lit(role).alias("role"), F.lit(kind).alias("kind"), F.sha2("lines", 256).alias("sha256"), "bytes", "file_count")
