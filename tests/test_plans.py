@@ -13,11 +13,12 @@ from timbre.functions import text as T
 from timbre.functions.identity import canonical_sha256, digest_strings
 from timbre.operators import attempts, extract, listening, signal, speaker, stats
 from timbre.operators.contracts import breaches, validate_documents
-from timbre.plans import content, corpus, lifecycle, lineage, matched
+from timbre import cli
+from timbre.plans import content, corpus, history, lifecycle, lineage, matched, packs, runtime
 from timbre.plans import listening as blind
 from timbre.plans.checks import ContractViolation
 from timbre.queries.audio import PATTERN, tone
-from timbre.sources import artifacts, documents, fingerprints, wav
+from timbre.sources import artifacts, audio_files, documents, fingerprints, wav
 
 H = "a" * 64
 PACKAGE = {
@@ -310,3 +311,96 @@ def test_first_seen_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["k"] for r in spark.table("seen").collect()) == ["a", "b"]
+
+
+PACK = {
+    "id": "pack", "version": "1", "seeds": [1, 2], "objective_metrics": ["wer"], "listening_criteria": ["natural"],
+    "prompts": [{"id": "p1", "text": "Take the MRT to Bishan", "category": "place", "lexical_anchors": [{"anchor_id": "b", "surface": "Bishan", "accepted_asr_forms": ["bee shan"]}]}, {"id": "p2", "text": "Hello", "category": "talk"}],
+}
+
+
+def test_prompt_packs(spark):
+    assert packs.pack_breaches(PACK) == []
+    anchor = PACK["prompts"][0]["lexical_anchors"][0]
+    bad = PACK | {"seeds": [1, 1], "prompts": [PACK["prompts"][0] | {"lexical_anchors": [anchor | {"surface": "Toa"}, {"anchor_id": "c", "surface": "MRT", "accepted_asr_forms": ["bee  shan"]}]}, PACK["prompts"][0]]}
+    assert {("$.seeds", "unique"), ("$.prompts[1].id", "unique"), ("$.prompts[0].lexical_anchors[0].surface", "occurs_once"), ("$.prompts[0].lexical_anchors[1].accepted_asr_forms", "collides")} <= set(packs.pack_breaches(bad))
+    header, plan = packs.plan_from_pack(spark, PACK, ["b", "a"])
+    assert header["sample_count"] == plan.count() == 8 and header["prompt_pack"]["sha256"] == canonical_sha256(PACK)
+    obs = plan.where("not (candidate_id = 'a' and seed = 2)").withColumn("valid", F.col("prompt_id") == "p1").drop("category")
+    got = packs.coverage(plan, obs.unionByName(obs.limit(1)))
+    counts = {r["candidate_id"]: (r["total"], r["missing"]) for r in got["candidates"].collect()}
+    assert counts == {"a": (4, 2), "b": (4, 0)} and got["samples"].where("status = 'duplicate'").count() == 1
+    with pytest.raises(ContractViolation):
+        packs.plan_from_pack(spark, PACK, ["a", "a"])
+
+
+def test_audio_files(spark, tmp_path):
+    import hashlib
+
+    data = tone(PATTERN)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.wav").write_bytes(data)
+    (tmp_path / "in" / "b.wav").write_bytes(b"")
+    digest = hashlib.sha256(data).hexdigest()
+    rows = [("s1", "a.wav", digest, True), ("s2", "a.wav", H, True), ("s3", "b.wav", H, True), ("s4", "../a.wav", H, True), ("s5", "c.wav", H, True), ("s6", None, None, True), ("s7", None, None, False)]
+    obs = spark.createDataFrame(rows, "sample_id string, audio_path string, audio_sha256 string, valid boolean")
+    got = {r["sample_id"]: r["fault"] for r in audio_files.verify_audio(spark, obs, str(tmp_path / "in")).collect()}
+    assert got == {"s1": None, "s2": "audio_differs", "s3": "audio_missing", "s4": "audio_path_leaves_base", "s5": "audio_missing", "s6": "audio_path_missing"}
+    probed = {r["sample_id"]: (r["status"], r["pause_count"]) for r in audio_files.probe_observations(spark, obs, str(tmp_path / "in"), wav.prosody_probe, ["pause_count"]).collect()}
+    assert probed["s1"] == ("complete", 2.0) and probed["s2"] == ("failed", None) and len(probed) == 6
+    manifest = obs.where("sample_id in ('s1', 's5')").selectExpr("sample_id", "audio_path", "audio_sha256", "cast(null as long) seed", "cast(null as string) prompt_id", "'x' requested_text")
+    c = history.audit_prosody(spark, manifest, str(tmp_path / "in"))["coverage"].first()
+    assert (c["rows"], c["with_seed"], c["with_requested_text"], c["complete"], c["failed"]) == (2, 0, 2, 1, 1)
+    with pytest.raises(ContractViolation):
+        history.check_manifest(manifest.drop("seed"))
+    staged = audio_files.stage_blind([("sample-0001", "a.wav", digest)], tmp_path / "in", tmp_path / "out")
+    assert staged == audio_files.stage_blind([("sample-0001", "a.wav", digest)], tmp_path / "in", tmp_path / "out")
+    (tmp_path / "out" / "blind_audio" / "sample-0001.wav").write_bytes(b"other")
+    with pytest.raises(ValueError, match="other bytes"):
+        audio_files.stage_blind([("sample-0001", "a.wav", digest)], tmp_path / "in", tmp_path / "out")
+    files = spark.createDataFrame([("s1", bytearray(data)), ("s2", bytearray(b""))], "sample_id string, content binary")
+    got = {r["sample_id"]: (r["status"], r["size"]) for r in audio_files.model_extractor(files, lambda: lambda c: {"size": len(c) // (1 if c else 0)}, "size", {"size": "long"}).collect()}
+    assert got == {"s1": ("complete", len(data)), "s2": ("failed", None)}
+
+
+def test_runtime_manifests(spark, tmp_path):
+    (tmp_path / "a").write_text("a")
+    (tmp_path / "b").write_text("b")
+    one, two = [f"weights=file={tmp_path / 'a'}"], [f"weights=file={tmp_path / 'b'}"]
+    m = runtime.build_manifest(spark, "r", "v1.2", one, one, "exact")
+    assert runtime.verify_manifest(spark, m, one, one)
+    obs = spark.createDataFrame([("s", "r", m["runtime_set_sha256"]), ("t", "r", H)], "sample_id string, runtime_id string, artifact_set_sha256 string")
+    assert [r["sample_id"] for r in runtime.exact_runtimes(spark.createDataFrame([(m["runtime_id"], m["relation"], m["runtime_set_sha256"])], "runtime_id string, relation string, runtime_set_sha256 string"), obs).collect()] == ["s"]
+    (tmp_path / "a").write_text("c")
+    assert not runtime.verify_manifest(spark, m, one, one)
+    identity = [{"role": "corpus", "sha256": H}]
+    runtime.resume_receipt("r", "interrupted_resumed", 10, 10, identity, 4, 4, "SIGTERM")
+    for bad in (lambda: runtime.build_manifest(spark, "r", "v1", one, two, "exact"), lambda: runtime.build_manifest(spark, "r", "main", one, one, "exact"), lambda: runtime.resume_receipt("r", "interrupted_resumed", 10, 10, identity, 4, 5, "SIGTERM"), lambda: runtime.resume_receipt("r", "uninterrupted", 10, 10, identity, 4)):
+        with pytest.raises(ContractViolation):
+            bad()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    def run(*argv):
+        code = cli.main([*map(str, argv)], spark)
+        return code, json.loads(capsys.readouterr().out or "null")
+
+    (tmp_path / "package.json").write_text(json.dumps(PACKAGE))
+    assert run("validate", "package", tmp_path / "package.json") == (0, {"errors": [], "valid": True})
+    assert run("validate", "evaluation", tmp_path / "package.json")[0] == 1
+    assert cli.main(["validate", "package", str(tmp_path / "none")], spark) == 2
+    (tmp_path / "t.wav").write_bytes(tone(PATTERN))
+    assert run("probe-prosody", tmp_path / "t.wav")[1]["pause_count"] == 2 and run("compare-audio", tmp_path / "t.wav", tmp_path / "t.wav")[1]["peak"] == 0
+    (tmp_path / "pack.json").write_text(json.dumps(PACK))
+    code, plan = run("build-generation-plan", tmp_path / "pack.json", "--candidate", "b", "--candidate", "a")
+    assert code == 0 and plan["sample_count"] == 8
+    (tmp_path / "plan.json").write_text(json.dumps(plan))
+    rows = [{k: s[k] for k in ("sample_id", "candidate_id", "prompt_id", "seed")} | {"requested_text": s["text"], "valid": True, "generation_seconds": 1.0 + (s["candidate_id"] == "a")} for s in plan["samples"]]
+    (tmp_path / "o.json").write_text(json.dumps({"observations": rows}))
+    assert run("validate-observations", tmp_path / "o.json")[0] == 0
+    assert run("check-suite-coverage", tmp_path / "plan.json", tmp_path / "o.json")[0] == 0
+    code, out = run("compare-matched", tmp_path / "o.json", tmp_path / "plan.json", "b", "a", "--metric", "generation_seconds")
+    assert code == 0 and out["summary"][0]["mean"] == 1.0 and out["validity"][0]["pairs"] == 4
+    (tmp_path / "o.json").write_text(json.dumps({"observations": rows[1:]}))
+    assert run("check-suite-coverage", tmp_path / "plan.json", tmp_path / "o.json")[0] == 1
+    assert cli.main(["compare-matched", str(tmp_path / "o.json"), str(tmp_path / "plan.json"), "b", "a", "--metric", "generation_seconds"], spark) == 2
