@@ -6,16 +6,17 @@ turns one into the other.  A line goes when an earlier line of the corpus, in
 the order (doc_id, line number), matches it; lines are judged on the input,
 not on what is left.  Blank lines always stay.
 
-1. Lines are named by a 128-bit hash and reduced to their first occurrence.
+1. Lines are named by a 128-bit hash and reduced to their first occurrence;
+   the other occurrences go.
 2. One edit leaves the first or the second half of a line as it was.  Only
-   lines that share a half with another line can have a partner; the others
-   emit nothing, which loses no match.
-3. The remaining lines emit every variant with one character deleted, as
-   hashed keys, within the half that may differ.  Two lines of one length that
-   agree without their i-th characters share (i, variant); a line that is
-   another's variant shares it with the whole line.  For each key only the
-   earliest line is kept (a minimum, not pairs) and joined back.
-4. The edit distance of each line to its earliest partner is verified.
+   first occurrences that share a half with another line of that length, or of one
+   more or less, can have a near partner; the rest emit nothing, which loses no match.
+3. Those emit every variant with one character deleted, as hashed keys, within
+   the half that may differ.  Two lines of one length that agree without their
+   i-th characters share (i, variant); a line that is another's variant shares it
+   with the whole line.  For each key only the earliest line is kept (a
+   minimum, not pairs) and joined back.
+4. The edit distance of each line to the partners found is verified.
 """
 
 from __future__ import annotations
@@ -23,65 +24,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import materialize, row_key, small
 
 MIN_CHARS = 20
+_HERE = ["doc_id", "rk", "line_no"]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.select("doc_id", "rk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-
+def _half(n: Column) -> Column:
+    """Length of the halves of a pair whose longer line has ``n`` characters."""
+    return F.floor((n - 1) / 2).cast("int")
 
-def _halves(line: Column) -> Column:
-    """Keys of both halves, as the longer line of a pair and as the shorter one."""
-    n = F.length(line)
 
-    def key(side: str, total: Column) -> Column:
-        h = F.floor((total - 1) / 2).cast("int")
-        part = F.left(line, h) if side == "p" else F.right(line, h)
-        return F.struct(F.xxhash64(F.lit(side), total, part).alias("key"), F.lit(side == "p").alias("prefix"))
+def _keys(line: Column, side: str) -> Column:
+    """Keys of one half: as the longer line of a pair, and as the shorter one."""
 
-    return F.array(key("p", n), key("p", n + 1), key("s", n), key("s", n + 1))
+    def key(longer: Column) -> Column:
+        h = _half(longer)
+        return F.xxhash64(F.lit(side), longer, F.left(line, h) if side == "p" else F.right(line, h))
 
+    return F.array(key(F.col("n")), key(F.col("n") + 1))
 
-def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, pos, near): each distinct line, its first position, and the first position of its earliest near partner.
 
-    ``docs(doc_id, rk, text)``.  A position is struct(doc_id, rk, line_no).
-    """
-    lines = _lines(docs)
-    pos = F.struct("doc_id", "rk", "line_no")
-    keyed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"), pos.alias("pos"), F.when(F.length("line") >= min_chars, _halves(F.col("line"))).alias("halves"))
-    first = keyed.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.any_value("halves").alias("halves"))
-    halves = first.select("h1", "h2", "pos", F.inline("halves"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = halves.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.first("pos").alias("pos"), F.bool_or("prefix").alias("by_prefix"), F.bool_or(~F.col("prefix")).alias("by_suffix"))
-    # fetch the wanted lines' texts from the documents that hold them first
-    spots = wanted.groupBy(F.col("pos.doc_id").alias("p_doc"), F.col("pos.rk").alias("p_rk")).agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "by_prefix", "by_suffix", "h1", "h2")).alias("spots"))
-    held = docs.join(spots, F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("rk") == F.col("p_rk")))
-    held = held.select("doc_id", "rk", F.split("text", "\n").alias("all"), F.explode("spots").alias("s")).select(F.struct("doc_id", "rk", F.col("s.line_no").alias("line_no")).alias("pos"), F.expr("all[s.line_no]").alias("line"), "s.*")
-    held = held.select("h1", "h2", "pos", "line", "by_prefix", "by_suffix").distinct()
+def line_spots(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, rk, line_no, h1, h2, pk, sk): each line that is not blank, its hash and the keys of its halves."""
+    lines = docs.select("doc_id", "rk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("n", F.length("line"))
+    long = F.col("n") >= max(min_chars, 3)
+    halves = [F.when(long, _keys(F.col("line"), side)).alias(f"{side}k") for side in "ps"]
+    return lines.select(*_HERE, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"), *halves)
+
+
+def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Of first occurrences with keys: those (doc_id, rk, line_no) that one edit ties to an earlier line."""
+    halves = F.concat(F.transform("pk", lambda k: F.struct(k.alias("key"), F.lit(True).alias("prefix"))), F.transform("sk", lambda k: F.struct(k.alias("key"), F.lit(False).alias("prefix"))))
+    halves = firsts.select(*_HERE, F.inline(halves))
+    shared = materialize(halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    wanted = halves.join(small(shared), "key", "left_semi").groupBy(*_HERE).agg(F.bool_or("prefix").alias("by_prefix"), F.bool_or(~F.col("prefix")).alias("by_suffix"))
+    spots = wanted.groupBy(F.col("doc_id").alias("p_doc"), F.col("rk").alias("p_rk")).agg(F.collect_list(F.struct("line_no", "by_prefix", "by_suffix")).alias("spots"))
+    held = docs.join(small(materialize(spots)), F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("rk") == F.col("p_rk")))
+    held = held.select("doc_id", "rk", F.split("text", "\n").alias("all"), F.explode("spots").alias("s"))
+    held = held.select(F.struct("doc_id", "rk", F.col("s.line_no").alias("line_no")).alias("pos"), F.expr("all[s.line_no]").alias("line"), F.col("s.by_prefix").alias("by_prefix"), F.col("s.by_suffix").alias("by_suffix"))
+    held = materialize(held.distinct())
     n = F.length("line")
-    half = F.floor((n - 1) / 2).cast("int")
-    places = F.when(F.col("by_prefix") & F.col("by_suffix"), F.sequence(F.lit(0), n - 1)).when(F.col("by_prefix"), F.sequence(half, n - 1)).otherwise(F.sequence(F.lit(0), F.least(half + 1, n - 1)))
-    cut = held.select("h1", "h2", "pos", "line", F.explode(places).alias("i"))
+    # an equal first half leaves the edit to what follows it, an equal second half to what comes before
+    half = _half(n)
+    places = F.when(F.col("by_prefix") & F.col("by_suffix"), F.sequence(F.lit(0), n - 1)).when(F.col("by_prefix"), F.sequence(half, n - 1)).otherwise(F.sequence(F.lit(0), n - half - 1))
+    cut = held.select("pos", "line", F.explode(places).alias("i"))
     cut = cut.withColumn("variant", F.concat(F.expr("left(line, i)"), F.expr("substring(line, i + 2)")))
     kinds = F.array(
-        F.struct(F.xxhash64(F.lit("replace"), "i", F.length("variant"), "variant").alias("key"), F.lit("replace").alias("kind")),
-        F.struct(F.xxhash64(F.lit("delete"), F.length("variant"), "variant").alias("key"), F.lit("longer").alias("kind")),
+        F.struct(F.xxhash64(F.lit("replace"), "i", F.length("variant"), "variant").alias("key"), F.lit(0).alias("kind")),
+        F.struct(F.xxhash64(F.lit("delete"), F.length("variant"), "variant").alias("key"), F.lit(1).alias("kind")),
     )
-    variants = cut.select("pos", F.inline(kinds))
-    emitted = variants.unionByName(held.select("pos", F.xxhash64(F.lit("delete"), n, "line").alias("key"), F.lit("shorter").alias("kind")))
-    least = [F.min(F.when(F.col("kind") == k, F.col("pos"))).alias(k) for k in ("replace", "longer", "shorter")]
+    emitted = cut.select("pos", F.inline(kinds)).unionByName(held.select("pos", F.xxhash64(F.lit("delete"), n, "line").alias("key"), F.lit(2).alias("kind")))
+    least = [F.min(F.when(F.col("kind") == i, F.col("pos"))).alias(k) for i, k in enumerate(("replace", "longer", "shorter"))]
     earliest = emitted.groupBy("key").agg(F.count("*").alias("n"), *least).where("n > 1").drop("n")
-    partner = F.when(F.col("kind") == "replace", F.col("replace")).when(F.col("kind") == "longer", F.col("shorter")).otherwise(F.col("longer"))
+    partner = F.when(F.col("kind") == 0, F.col("replace")).when(F.col("kind") == 1, F.col("shorter")).otherwise(F.col("longer"))
     met = emitted.join(earliest, "key").select("pos", partner.alias("partner")).where(F.col("partner") < F.col("pos")).distinct()
-    mine = held.select("h1", "h2", "pos", "line")
     other = held.select(F.col("pos").alias("partner"), F.col("line").alias("p_line"))
-    met = met.join(mine, "pos").join(other, "partner").where(F.levenshtein("line", "p_line", 1) == 1)
-    near = met.groupBy("h1", "h2").agg(F.min("partner").alias("near"))
-    return first.select("h1", "h2", "pos").join(near, ["h1", "h2"], "left")
+    met = met.join(held.select("pos", "line"), "pos").join(other, "partner").where(F.levenshtein("line", "p_line", 1) == 1)
+    return met.select("pos.*")
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, rk, line_no) of the lines of ``docs(doc_id, rk, text)`` that go."""
+    spots = materialize(line_spots(docs, min_chars))
+    here = F.struct(*_HERE)
+    # lines that stand more than once, with their first place; a very common line is one row here
+    again = materialize(spots.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    judged = spots.join(small(again), ["h1", "h2"], "left").withColumn("later", F.coalesce(F.col("first") < here, F.lit(False)))
+    firsts = judged.where("not later and pk is not null").select(*_HERE, "pk", "sk").distinct()
+    return judged.where("later").select(*_HERE).unionByName(_near(docs, firsts))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -95,14 +107,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     long texts stay whole: lines are separate rows until they are joined again.
     """
     rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_lines", "n_removed")]
-    # the texts travel by document once: the same exchange feeds the variants and the rebuilt texts
-    keyed = docs.select("doc_id", row_key().alias("rk"), "text", F.struct(*rest).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
-    slim = docs.select("doc_id", row_key().alias("rk"), "text")
-    near = near_lines(slim, min_chars)
-    spots = _lines(slim).select("doc_id", "rk", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"))
-    judged = spots.join(near, ["h1", "h2"])
-    here = F.struct("doc_id", "rk", "line_no")
-    gone = judged.where((F.col("pos") < here) | (F.col("near") < here))
+    keyed = docs.select("doc_id", row_key().alias("rk"), "text", *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")] if rest else []))
+    gone = repeated_lines(keyed.select("doc_id", "rk", "text"), min_chars)
     gone = gone.groupBy(F.col("doc_id").alias("g_doc"), F.col("rk").alias("g_rk")).agg(F.collect_set("line_no").alias("gone"))
     out = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("rk") == F.col("g_rk")), "left")
     lines = F.split("text", "\n")
