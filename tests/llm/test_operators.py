@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from timbre.llm.common import connected_components, hash_words, split_words
 from timbre.llm.exact_dedup import exact_dedup
-from timbre.llm.license_scan import license_scan
+from timbre.llm.license_scan import license_scan, standard_templates
 from timbre.llm.line_dedup import line_dedup
 from timbre.llm.minhash_dedup import bayes_survivors, least_matches, near_duplicates
 from timbre.llm.mixing import bisect_exponent, entropy, mix_sources, tempered
@@ -409,6 +409,16 @@ def test_license_scan(spark):
     assert license_scan(df.limit(0)).count() == 0
 
 
+def test_full_license_texts_speak_for_their_directories(spark):
+    texts = standard_templates()
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+    files = [(f"{n}/LICENSE", "Copyright (c) 2020 A. Writer <a@writer.org>\n\n" + texts[n][-1]) for n in names] + [(f"{n}/src/deep/code.c", "int main;") for n in names]
+    files += [("prose/COPYING", "the work of the writer and the copy of the license " * 300), ("prose/code.c", "int main;")]
+    got = {r["path"]: (r["license"], r["how"], r["from_dir"]) for r in license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    want = {f"{n}/LICENSE": (n, "file", None) for n in names} | {f"{n}/src/deep/code.c": (n, "inherited", n) for n in names}
+    assert got == want | {"prose/COPYING": (None, None, None), "prose/code.c": (None, None, None)}
+
+
 # --- the pipeline ----------------------------------------------------------------------------
 
 

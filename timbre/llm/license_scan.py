@@ -11,6 +11,7 @@ Inverse document frequencies come from all files, as counts in a fixed number of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,16 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved."],
 }
 
+
+def standard_templates() -> dict[str, list[str]]:
+    """``TEMPLATES`` and the standard full text of each licence in the folder ``licenses``, read on the driver only."""
+    out = {name: list(texts) for name, texts in TEMPLATES.items()}
+    for file in sorted((resources.files(__package__) / "licenses").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            out.setdefault(file.name.removesuffix(".txt"), []).append(file.read_text("utf-8"))
+    return out
+
+
 _MARKS = r"[^\p{L}\p{N}+.\n-]+"
 
 
@@ -134,14 +145,15 @@ class _Matcher:
 def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, header_lines: int = HEADER_LINES) -> DataFrame:
     """(path, license, score, how, from_dir) for each row of ``files(path, text, ...)``.
 
-    ``how``: "file" (the whole text is a notice), "header" (a line or the first lines are), "inherited"
+    ``templates`` holds notices and licence texts by name; None takes ``standard_templates()``.
+    ``how``: "file" (the whole text is one of them), "header" (a line or the first lines are), "inherited"
     (from ``from_dir``), or null with no licence.  Of equal cosines the alphabetically first
     licence wins; of several licence files in one directory the best match, then
     the smallest path.  A null text matches nothing but inherits; a null path
     neither inherits nor speaks for a directory; repeated rows are judged alike.
     Columns beside path and text are carried along, unless named like a result column.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = standard_templates() if templates is None else templates
     taken = {"path", "text", "license", "score", "how", "from_dir"}
     rest = [c for c in files.columns if c.lower() not in taken]
     bounded_batches(files.sparkSession)
