@@ -28,3 +28,10 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_audit_stages_keeps_texts_that_start_with_a_blank(spark, tmp_path):
+    docs = [(3, "  lead"), (13, "  lead"), (23, "   "), (33, None), (43, ""), (53, "plain")]
+    spark.createDataFrame([(i, t, "en", "web", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["split"], r["reason"]): r["n"] for r in audits.audit_stages(spark, str(tmp_path)).collect()}
+    assert got == {("train", "valid"): 2, ("train", "duplicate_content"): 1, ("train", "missing_text"): 3}
