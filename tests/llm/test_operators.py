@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from timbre.llm.common import connected_components, hash_words, split_words
 from timbre.llm.exact_dedup import exact_dedup
-from timbre.llm.license_scan import license_scan, standard_templates
+from timbre.llm.license_scan import SLOTS, _Matcher, _slot, _terms, license_scan, standard_templates
 from timbre.llm.line_dedup import line_dedup
 from timbre.llm.minhash_dedup import bayes_survivors, least_matches, near_duplicates
 from timbre.llm.mixing import bisect_exponent, entropy, mix_sources, tempered
@@ -419,6 +419,43 @@ def test_full_license_texts_speak_for_their_directories(spark):
     assert got == want | {"prose/COPYING": (None, None, None), "prose/code.c": (None, None, None)}
 
 
+def test_license_notices_over_several_lines_are_found_anywhere(spark):
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+    mit = "\n".join("# " + x for x in standard_templates()["MIT"][-1].splitlines())
+    code = "\n".join(f"import module{i}.part{i} as name{i}" for i in range(30))
+    files = [("top.c", f"/*\n{gpl}\n */\n{code}"), ("deep.c", f"{code}\n/*\n{gpl}\n */\n{code}"), ("mit.py", f"{code}\n{mit}\n{code}"), ("none.py", code)]
+    got = {r["path"]: (r["license"], r["how"]) for r in license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"top.c": ("GPL-3.0", "header"), "deep.c": ("GPL-3.0", "header"), "mit.py": ("MIT", "header"), "none.py": (None, None)}
+
+
+def test_license_runs_are_the_best_of_all_runs():
+    rng, texts = random.Random(5), {"A": ["alpha beta gamma delta"], "B": ["one two three two one", "beta one"], "C": ["gamma gamma delta " * 9]}
+    idf = np.random.default_rng(5).uniform(1, 4, SLOTS)
+    matcher = _Matcher(9, 10 / np.exp(idf - 1) - 1, texts)
+    for sizes in [[1, 3, 9]] * 150 + [[120]] * 2:
+        lines = [" ".join(rng.choice("alpha beta gamma delta one two three other more".split()) for _ in range(rng.choice([0, 1, 2, 4]))) for _ in range(rng.choice(sizes))]
+        terms, _, line = _terms(pa.array(["\n".join(lines)]))
+        want = [0.0, 0.0]
+        at = [terms[line == i] for i in range(len(lines))]
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                uniq, n = np.unique(np.concatenate(at[i:j]), return_counts=True)
+                x = dict(zip(uniq.tolist(), n * matcher.idf[_slot(uniq)], strict=True))
+                norm = np.sqrt(sum(v * v for v in x.values()))
+                cos = max((sum(x.get(t, 0) * v for t, v in zip(u.tolist(), w, strict=True)) / norm for u, w in matcher.vectors), default=0) if x else 0
+                want[1] = max(want[1], cos)
+                if (i, j) == (0, len(lines)):
+                    want[0] = cos
+        got = [0.0, 0.0]
+        for _, able in matcher.near(terms, np.zeros(len(terms), np.int64), 1, 0.8):
+            got = [v for _, v in matcher.runs(terms, line, able, 0.8)]
+        want = [v if v >= 0.8 else 0 for v in want]
+        assert np.allclose(got[:1] if want[0] else got, want[:1] if want[0] else want, atol=1e-9), (lines, got, want)
+
+
 # --- the pipeline ----------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a file, its first lines together (its header) and its whole text are
-sparse TF-IDF vectors, held against the templates by cosine.  A file whose whole text
+Every run of consecutive lines of a file, from one line to its whole text, is a
+sparse TF-IDF vector, held against the templates by cosine.  A file whose whole text
 matches is a licence file and speaks for its directory; a file without a match of
 its own takes the licence of its nearest ancestor directory that has one, by joins on paths.
 
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, hash_words, materialize, slices, split_words
 
 SLOTS = 1 << 16
-HEADER_LINES = 20
 THRESHOLD = 0.8
 
 #: Short notices of common licences.
@@ -114,41 +113,90 @@ class _Matcher:
         self.table = np.zeros((len(self.vocabulary) + 1, len(self.names)))  # last row: terms of no template
         for i, (u, w) in enumerate(self.vectors):
             self.table[np.searchsorted(self.vocabulary, u), i] = w
+        self.squares = self.table**2
 
-    def best(self, terms: np.ndarray, segment: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Best template (-1: none) and cosine of each of ``n`` segments; ``segment`` is each term's, rising."""
-        which, score = np.full(n, -1), np.zeros(n)
+    def near(self, terms: np.ndarray, doc: np.ndarray, n: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Each of ``n`` texts some run of whose lines may reach the threshold, with the templates it may reach.
+
+        No run has a cosine above the norm of that part of the template whose terms the text has at all.
+        """
         if not len(terms) or not self.names:
-            return which, score
+            return
+        at = np.searchsorted(self.vocabulary, terms)
+        at[at == len(self.vocabulary)] = 0
+        known = self.vocabulary[at] == terms
+        size = len(self.vocabulary)
+        pairs = np.unique(doc[known] * size + at[known])
+        if not len(pairs):
+            return
+        owner, first = np.unique(pairs // size, return_index=True)
+        covered = np.add.reduceat(self.squares[pairs % size], first)
+        able = covered >= threshold**2 - 1e-9
+        for i in np.flatnonzero(able.any(1)):
+            yield int(owner[i]), np.flatnonzero(able[i])
+
+    def runs(self, terms: np.ndarray, line: np.ndarray, able: np.ndarray, threshold: float) -> tuple[tuple[int, float], tuple[int, float]]:
+        """Best template (-1: none) and cosine of the whole text, and of all runs of its consecutive lines, over the templates ``able``.
+
+        Exact: every run is judged that begins with a line of a template's terms and that longer norms do not rule out.
+        Once the whole text matches, runs from later lines are not sought: the whole decides.
+        Of equal cosines the run that begins first wins, then the first template.
+        """
         idf = self.idf[_slot(terms)]
         at = np.searchsorted(self.vocabulary, terms)
         at[at == len(self.vocabulary)] = 0
         at = np.where(self.vocabulary[at] == terms, at, len(self.vocabulary))
-        # An upper bound of the cosine: repeats of a term only lengthen the vector.
-        short = np.sqrt(np.bincount(segment, weights=idf**2, minlength=n))
-        known = np.flatnonzero(at < len(self.vocabulary))
-        dots = np.zeros((n, len(self.names)))
-        np.add.at(dots, segment[known], self.table[at[known]] * idf[known, None])
-        able = np.flatnonzero(dots.max(1) >= threshold * np.maximum(short, 1e-12) - 1e-9)
-        able = able[dots[able].max(1) > 0]
-        lo, hi = np.searchsorted(segment, able, "left"), np.searchsorted(segment, able, "right")
-        for s, a, b in zip(able, lo, hi, strict=True):
-            uniq, first, n_term = np.unique(terms[a:b], return_index=True, return_counts=True)
-            norm = np.linalg.norm(n_term * idf[a:b][first])
-            cos = dots[s] / norm
-            k = int(np.argmax(cos))
-            if cos[k] >= threshold:
-                which[s], score[s] = k, cos[k]
-        return which, score
-
-
-def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, header_lines: int = HEADER_LINES) -> DataFrame:
+        dots = self.table[at][:, able] * idf[:, None]
+        starts = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        ends = np.append(starts[1:], len(terms))
+        # occurrence number of each term within the text: a term's k-th occurrence adds (2k - 1) idf^2 to the squared norm
+        _, term, count = np.unique(terms, return_inverse=True, return_counts=True)
+        order = np.argsort(term, kind="stable")
+        nth = np.empty(len(terms), np.int64)
+        nth[order] = np.arange(len(terms)) - np.repeat(np.cumsum(count) - count, count)
+        before = np.zeros(len(count), np.int64)  # occurrences of each term before the start of the run
+        left = dots[::-1].cumsum(0)[::-1]
+        sums = np.add.reduceat(dots, starts)
+        best, held = (-1, 0.0), 0
+        for k, start in enumerate(starts):
+            before += np.bincount(term[held:start], minlength=len(count)) if start > held else 0
+            held = start
+            if k and not sums[k].any():
+                continue
+            # the norm only grows and what is left of the products bounds every later one: seek on while they allow a match
+            stop = k
+            dot, norm = np.zeros((0, len(able))), np.zeros(0)
+            step = 256
+            while stop < len(starts):
+                a, upto = starts[stop], int(np.searchsorted(ends, ends[stop] + step, "right"))
+                upto = min(max(upto, stop + 1), len(starts))
+                b = ends[upto - 1]
+                e = ends[stop:upto] - a - 1
+                d = dots[a:b].cumsum(0)[e] + (dot[-1] if len(dot) else 0)
+                sq = (idf[a:b] ** 2 * (2 * (nth[a:b] - before[term[a:b]]) + 1)).cumsum()[e] + (norm[-1] if len(norm) else 0)
+                dot, norm = np.concatenate([dot[-1:], d]), np.concatenate([norm[-1:], sq])
+                cos = d / np.sqrt(sq)[:, None]
+                top = cos.max(0)
+                i = int(np.argmax(top >= top.max() - 1e-12))
+                if top[i] >= threshold - 1e-12 and (best[0] < 0 or top[i] > best[1] + 1e-12):
+                    best = int(able[i]), float(top[i])
+                if k == 0 and upto == len(starts):
+                    i = int(np.argmax(cos[-1] >= cos[-1].max() - 1e-12))
+                    if cos[-1, i] >= threshold - 1e-12:
+                        return (int(able[i]), float(cos[-1, i])), best
+                stop, step = upto, 2 * step
+                if (left[start] < max(threshold, best[1]) * np.sqrt(sq[-1]) - 1e-9).all() and k:
+                    break
+        return (-1, 0.0), best
+
+
+def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(path, license, score, how, from_dir) for each row of ``files(path, text, ...)``.
 
     ``templates`` holds notices and licence texts by name; None takes ``standard_templates()``.
-    ``how``: "file" (the whole text is one of them), "header" (a line or the first lines are), "inherited"
-    (from ``from_dir``), or null with no licence.  Of equal cosines the alphabetically first
-    licence wins; of several licence files in one directory the best match, then
+    ``how``: "file" (the whole text is one of them), "header" (a run of consecutive lines is, wherever it lies), "inherited"
+    (from ``from_dir``), or null with no licence.  Of equal cosines the run that begins first wins,
+    then the alphabetically first licence; of several licence files in one directory the best match, then
     the smallest path.  A null text matches nothing but inherits; a null path
     neither inherits nor speaks for a directory; repeated rows are judged alike.
     Columns beside path and text are carried along, unless named like a result column.
@@ -168,25 +216,13 @@ def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None
                 n = b - a
                 terms, offsets, line = _terms(batch.column("text")[a:b])
                 doc = np.repeat(np.arange(n), np.diff(offsets))
-                whole, whole_score = matcher.best(terms, doc, n, threshold)
-                new = np.ones(len(terms), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
-                seg = np.cumsum(new) - 1
-                found, found_score = matcher.best(terms, seg, int(new.sum()), threshold)
-                top = line < header_lines
-                head, head_score = matcher.best(terms[top], doc[top], n, threshold)
                 license_, score, how = [None] * n, [None] * n, [None] * n
-                best = np.full(n, -1), head_score.copy()
-                best[0][:] = head
-                owner = doc[np.flatnonzero(new)]
-                for s in np.flatnonzero(found >= 0):
-                    d = owner[s]
-                    if found_score[s] > best[1][d] + 1e-12 or best[0][d] < 0:
-                        best[0][d], best[1][d] = found[s], found_score[s]
-                for d in range(n):
-                    k, v, h = (whole[d], whole_score[d], "file") if whole[d] >= 0 else (best[0][d], best[1][d], "header")
+                for d, able in matcher.near(terms, doc, n, threshold):
+                    lo, hi = offsets[d] - offsets[0], offsets[d + 1] - offsets[0]
+                    whole, best = matcher.runs(terms[lo:hi], line[lo:hi], able, threshold)
+                    k, v, h = (*whole, "file") if whole[0] >= 0 else (*best, "header")
                     if k >= 0:
-                        license_[d], score[d], how[d] = matcher.names[k], round(float(v), 6), h
+                        license_[d], score[d], how[d] = matcher.names[k], round(v, 6), h
                 part = batch.slice(a, n)
                 kept = [part.column(c) for c in [*rest, "path"]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(license_, pa.string()), pa.array(score, pa.float64()), pa.array(how, pa.string())], names=names)
