@@ -110,6 +110,23 @@ def test_url_filter_spreads_blocks_to_aliases(spark):
     assert url_filter(df.limit(0), rules).count() == 0
 
 
+def test_url_filter_resolves_every_form_of_link(spark):
+    rules = [("block", "bad.com", "/")]
+    link, meta = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    bad = "http://bad.com/a/item.html?x=1&y=2"
+    forms = [  # page, html, address it is tied to
+        ("http://h1.org/a/b.html", link.format("item.html"), "http://h1.org/a/item.html"), ("http://h2.org/a/b/c", link.format("../x"), "http://h2.org/a/x"), ("http://h3.org/a?id=1", link.format("?id=3"), "http://h3.org/a?id=3"),
+        ("http://h4.org/a", link.format(bad.replace("&", "&amp;")), bad), ("http://h5.org/a", meta.format(bad.replace("&", "&#38;")), bad), ("http://h6.org", link.format("p"), "http://h6.org/p"), ("http://h7.org/a/b", meta.format("./c"), "http://h7.org/a/c"),
+        ("http://h8.org/a", f'<link rel="alternate canonical" href="{bad}">', bad), ("http://h9.org/a", f"<link href='{bad}' rel='canonical nofollow'>", bad), ("http://h10.org/a", f"<LINK REL=canonical HREF={bad}>", bad),
+        ("http://h11.org/a", '<base href="http://h12.org/d/">' + link.format("e"), "http://h12.org/d/e"), ("http://h13.org/a/b", link.format("/c"), "http://h13.org/c"), ("http://h14.org/a", link.format("//h15.org/c"), "http://h15.org/c"),
+    ]
+    other = [("http://n1.org/a", f'<link rel="canonicals" href="{bad}">'), ("http://n2.org/a", link.format("#top")), ("http://n3.org/a", link.format("http://[x"))]
+    pages = [(i, u, h) for i, (u, h, *_) in enumerate(forms + other)]
+    edges = spark.createDataFrame([(to, bad) for _, _, to in forms if to != bad], "a string, b string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter(spark.createDataFrame(pages, "page_id long, url string, html string"), rules, edges).collect()}
+    assert got == {i: "block" if i < len(forms) else "allow" for i in range(len(pages))}
+
+
 # --- 2 toxicity ------------------------------------------------------------------------------
 
 

@@ -9,6 +9,10 @@ member of the class; allow takes precedence.
 
 from __future__ import annotations
 
+import html
+import re
+from urllib.parse import urljoin
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ from .common import connected_components, materialize
 #: action, host, path
 Rule = tuple[str, str, str]
 
+#: rel with canonical among its values
+_CANONICAL = r"""(?is)(?<![\w-])rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]|$))"""
 _LINK = r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)[^>]*>"
 
 
@@ -55,21 +61,34 @@ def rule_index(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("int")
 
 
+def resolve(url: str | None, base: str | None, target: str | None) -> str | None:
+    """The address that a link's target means on the page ``url``, whose base element names ``base``; null where it means none."""
+    if not url or not target:
+        return None
+    target = html.unescape(target)
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", target):
+        return target
+    try:
+        return urljoin(urljoin(url, html.unescape(base or "")), target)
+    except ValueError:
+        return None
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) node pairs from the canonical links and meta refreshes of ``pages(url, html)``."""
-    tags = pages.where(F.col("html").rlike(_LINK)).select("url", F.explode(F.regexp_extract_all("html", F.lit(f"({_LINK})"), F.lit(1))).alias("tag"))
-    canonical = F.col("tag").rlike(r"(?i)rel\s*=\s*[\"']?canonical")
+    """(a, b) node pairs from the canonical links and meta refreshes of ``pages(url, html)``.
+
+    Entities are decoded; relative targets are resolved against the page's base element or address.
+    """
+    base = F.regexp_extract("html", r"(?is)<base\b[^>]*?\shref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    tags = pages.where(F.col("html").rlike(_LINK)).select("url", base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(f"({_LINK})"), F.lit(1))).alias("tag"))
+    canonical = F.col("tag").rlike(_CANONICAL)
     refresh = F.col("tag").rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh")
     href = F.regexp_extract("tag", r"(?is)href\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    to = F.regexp_extract("tag", r"(?is)url\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1)
+    to = F.regexp_extract("tag", r"(?is)url\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
     target = F.when(canonical, href).when(refresh, to)
-    scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
-    full = (
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), target))
-    )
-    return tags.select(node_of(F.col("url")).alias("a"), node_of(full).alias("b")).where("a is not null and b is not null and a != b")
+    full = F.udf(resolve, "string", useArrow=True)("url", "base", target)
+    tags = tags.select("url", full.alias("full"))
+    return tags.select(node_of(F.col("url")).alias("a"), node_of(F.col("full")).alias("b")).where("a is not null and b is not null and a != b")
 
 
 def url_filter(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None, default: str = "allow") -> DataFrame:
