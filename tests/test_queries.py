@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import sys
 from pathlib import Path
 
@@ -35,3 +36,14 @@ def test_audit_stages_keeps_texts_that_start_with_a_blank(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "web", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["split"], r["reason"]): r["n"] for r in audits.audit_stages(spark, str(tmp_path)).collect()}
     assert got == {("train", "valid"): 2, ("train", "duplicate_content"): 1, ("train", "missing_text"): 3}
+
+
+def test_bootstrap_exact_takes_the_reference_s_draws(spark, monkeypatch):
+    values = [0.0, 1.0, 5.0, 2.0, 9.0, 4.0, 7.0]
+    rows = [("m", v, i) for i, v in enumerate(values)]
+    monkeypatch.setattr(scoring, "_pair_deltas", lambda spark, sf_dir: spark.createDataFrame(rows, "metric string, delta double, place long"))
+    rng = random.Random(0)
+    means = sorted(sum(rng.choices(values, k=7)) / 7 for _ in range(2000))
+    low, high = (means[int(p * 1999)] * (1 - p * 1999 % 1) + means[int(p * 1999) + 1] * (p * 1999 % 1) for p in (0.025, 0.975))
+    got = scoring.bootstrap_exact(spark, "").first()
+    assert (got["low"], got["high"]) == pytest.approx((low, high), abs=1e-9)

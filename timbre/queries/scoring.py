@@ -123,7 +123,7 @@ def _pair_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap_exact(_pair_deltas(spark, sf_dir), ["metric"], "delta", "place", draws=DRAWS)
+    return stats.bootstrap_exact(_pair_deltas(spark, sf_dir), ["metric"], "delta", "place")
 
 
 def bootstrap_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
