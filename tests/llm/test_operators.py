@@ -324,6 +324,27 @@ def test_near_duplicates_in_one_large_chain(spark):
     assert got == brute_near(rows, 2, 80) and {r[2] for r in got} == {0}
 
 
+def test_near_duplicates_in_blocks_with_refuted_candidates(spark, monkeypatch):
+    """A crowd of variants around a few originals, compared in blocks of five, with an overlap bound that lets every candidate through."""
+    from timbre.llm import minhash_dedup
+
+    rng = random.Random(3)
+    vocab = [f"v{i}" for i in range(300)]
+    rows = []
+    for g in range(3):
+        base = [rng.choice(vocab) for _ in range(60)]
+        for _ in range(30):
+            w = list(base)
+            for _ in range(rng.choice([1, 3, 5, 7])):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(w), "s", "", 0))
+    want = brute_near(rows, 2, 80)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 5)
+    found = minhash_dedup.NearDuplicates(frame(spark, rows), 2, 80)
+    found.bound = 60
+    assert sorted((r.doc_id, r.component_id) for r in found.components().collect()) == [(d, c) for d, _, c, _ in want]
+
+
 def test_near_duplicates_edges(spark):
     rows = [(3, "a b c", None, None, None), (3, "a b c", None, None, None), (None, "a b c", None, None, None), (4, None, None, None, None), (4, "", None, None, None), (3, "z y x", None, None, None)]
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(frame(spark, rows), 2, 80).collect()), key=repr)

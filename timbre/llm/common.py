@@ -14,13 +14,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that a Python worker tokenises at once; a longer single text is taken alone.
 SLICE_BYTES = 1 << 20
-#: Rows up to which a side is broadcast after counting; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a side is broadcast after measuring; beyond it the join shuffles.
+BROADCAST_BYTES = 8 << 20
+#: A key that holds more than this part of all rows is joined by broadcast: there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -40,7 +43,16 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete scratch tables that no plan reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
@@ -55,9 +67,39 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20)
             spark.conf.set(key, str(limit))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a materialised ``df`` only when it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(column.getField(f.name), f.dataType) for f in kind), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        each = F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, kind.elementType))
+        return F.coalesce(each, F.lit(0)) + 24
+    return F.lit(8)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a materialised ``df`` only when its rows take at most ``limit`` bytes."""
+    size = df.agg(F.sum(sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16)))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` with the columns of their group, whatever the size of a group.
+
+    ``groups`` is materialised and has one row for each combination of ``keys`` (none null) that
+    ``rows`` holds, with its number of rows in column ``n``.  Groups of more than ``HOT_SHARE`` of all rows, of which there are
+    at most 1 / HOT_SHARE, are marked by a broadcast and their rows spread over salts; the others have the salt 0.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    salts = 64
+    least = max(1000, int(total * HOT_SHARE))
+    hot = F.broadcast(groups.where(F.col(n) > least).select(*keys, F.lit(True).alias("_hot")))
+    spread = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    last = F.when(F.col(n) > least, F.lit(salts - 1)).otherwise(F.lit(0)).cast("long")
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return spread.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
 def row_key(text: str = "text"):
@@ -74,8 +116,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, comp) for every node of ``edges(a, b)``; comp is the least node reachable.
 
     Alternates large-star and small-star contractions.  Minimums are taken by
-    ordinary (partially aggregated) groupings and joined back, so that no hub's
-    neighbours are ever gathered in one row; each round ends in a scratch table.
+    ordinary (partially aggregated) groupings and joined back; a hub's edges meet one row, so adaptive
+    execution may split them over tasks.  Each round ends in a scratch table, and the one before is deleted.
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     cur = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -94,6 +136,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         step = large.join(least, "a")
         nxt = step.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt = materialize(nxt.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(cur)
         before, mark, cur = mark, state(nxt), nxt
         if mark == before:
             break
@@ -130,37 +173,21 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real), counts[at - at[0]]
 
 
-_BYTE = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9FB21C651E98DF25)
-#: Bytes of a word that are hashed for all words at once; longer words are hashed one by one.
-_LONG = 48
+def word_names(words: pa.Array) -> np.ndarray:
+    """(words, 2) 64-bit values: the halves of each word's 128-bit xxh3 digest, the same wherever they are computed."""
+    if not len(words):
+        return np.zeros((0, 2), np.uint64)
+    coded = words.dictionary_encode()
+    _, at, data = coded.dictionary.buffers()
+    at = np.frombuffer(at, np.int32)[: len(coded.dictionary) + 1].tolist()
+    data, name = data.to_pybytes() if data else b"", xxhash.xxh3_128_digest
+    held = np.frombuffer(b"".join([name(data[a:b]) for a, b in zip(at, at[1:], strict=False)]), np.uint64).reshape(-1, 2)
+    return held[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def hash_words(words: pa.Array) -> np.ndarray:
-    """A 64-bit value for each word, the same wherever it is computed."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2], np.uint8)
-    size = np.diff(at)
-    out = size.astype(np.uint64) * _STEP
-    # byte k of every word that has one, k = 0, 1, ...: words by falling length, so that the rows left are a prefix
-    order = np.argsort(-np.minimum(size, _LONG + 1), kind="stable")
-    start, h = at[:-1][order], out[order]
-    left = np.searchsorted(-size[order], -np.arange(1, _LONG + 1), "right")
-    for k in range(_LONG):
-        m = int(left[k])
-        if not m:
-            break
-        x = h[:m]
-        x += _BYTE[data[start[:m] + k]]
-        x *= _STEP
-        x ^= x >> np.uint64(32)
-    out[order] = h
-    for i in np.flatnonzero(size > _LONG):
-        out[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i + 1]].tobytes())
-    return mix(out)
+    """A 64-bit value for each word."""
+    return word_names(words)[:, 0]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
