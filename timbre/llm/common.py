@@ -79,19 +79,33 @@ def _bytes(column: Column, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a materialised ``df`` take at most ``limit`` bytes."""
+    return (df.agg(F.sum(sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16)))).first()[0] or 0) <= limit
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast of a materialised ``df`` only when its rows take at most ``limit`` bytes."""
-    size = df.agg(F.sum(sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16)))).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    """Hint a broadcast of a materialised ``df`` only when it is small."""
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def repeated(df: DataFrame, n: str, number: str, at_once: int = 100_000) -> DataFrame:
+    """Each row ``n`` times, numbered from 0 in column ``number``; very many copies are dealt over the tasks in parts."""
+    parts = df.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(n) - 1, F.lit(0)), F.lit(at_once).cast("long")))).where(F.col(n) > 0)
+    if df.where(F.col(n) > at_once).limit(1).count():
+        parts = parts.repartition("_first")
+    return parts.withColumn(number, F.explode(F.sequence("_first", F.least(n, F.col("_first") + at_once) - 1))).drop("_first")
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
     """``rows`` with the columns of their group, whatever the size of a group.
 
-    ``groups`` is materialised and has one row for each combination of ``keys`` (none null) that
-    ``rows`` holds, with its number of rows in column ``n``.  Groups of more than ``HOT_SHARE`` of all rows, of which there are
+    ``groups`` is materialised and has a row for each combination of ``keys`` (none null) that is
+    to be met, with its number of rows in column ``n``.  Small tables are broadcast.  Of others, groups of more than ``HOT_SHARE`` of all rows, of which there are
     at most 1 / HOT_SHARE, are marked by a broadcast and their rows spread over salts; the others have the salt 0.
     """
+    if is_small(groups):
+        return rows.join(F.broadcast(groups), keys)
     total = groups.agg(F.sum(n)).first()[0] or 0
     salts = 64
     least = max(1000, int(total * HOT_SHARE))

@@ -6,17 +6,18 @@ turns one into the other.  A line goes when an earlier line of the corpus, in
 the order (doc_id, line number), matches it; lines are judged on the input,
 not on what is left.  Blank lines always stay.
 
-1. Lines are named by a 128-bit hash and reduced to their first occurrence;
+1. Lines are named by 128 bits of two independent hashes and reduced to their first occurrence;
    the other occurrences go.
 2. One edit leaves the first or the second half of a line as it was.  Only
    first occurrences that share a half with another line of that length, or of one
    more or less, can have a near partner; the rest emit nothing, which loses no match.
-3. Those emit every variant with one character deleted, as hashed keys, within
-   the half that may differ.  Two lines of one length that agree without their
-   i-th characters share (i, variant); a line that is another's variant shares it
-   with the whole line.  For each key only the earliest line is kept (a
+   What the shared half leaves open is a piece of the line.  Long pieces are taken apart in turn, keeping the
+   parts whose surroundings another line shares, so that the work grows with a line's length and not its square.
+3. The pieces emit every variant with one character deleted, as keys hashed with what surrounds them.  Two lines of one
+   length that agree without their i-th characters share (i, variant); a line that is
+   another's variant shares it with the whole piece.  For each key only the earliest line is kept (a
    minimum, not pairs) and joined back.
-4. The edit distance of each line to the partners found is verified.
+4. Each line is held against the partners found: without the characters in question the texts must be equal.
 """
 
 from __future__ import annotations
@@ -26,8 +27,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_key, small
 
+#: Shorter lines match only when equal: one edit turns "12" into "13", or "no" into "so", which repeats nothing.
 MIN_CHARS = 20
+#: Characters of a piece that emits its variants directly.
+PIECE = 128
+#: Parts into which a longer piece is taken at once.
+PARTS = 8
 _HERE = ["doc_id", "rk", "line_no"]
+#: The sides that one edit may leave as they were, each with the line as the longer (or equal) and the shorter of a pair.
+_ROLES = [("p", 0), ("p", 1), ("s", 0), ("s", 1)]
 
 
 def _half(n: Column) -> Column:
@@ -35,54 +43,93 @@ def _half(n: Column) -> Column:
     return F.floor((n - 1) / 2).cast("int")
 
 
-def _keys(line: Column, side: str) -> Column:
-    """Keys of one half: as the longer line of a pair, and as the shorter one."""
-
-    def key(longer: Column) -> Column:
-        h = _half(longer)
-        return F.xxhash64(F.lit(side), longer, F.left(line, h) if side == "p" else F.right(line, h))
-
-    return F.array(key(F.col("n")), key(F.col("n") + 1))
+def _key(line: Column, n: Column, side: str, shorter: int) -> Column:
+    """Key of the half that a pair shares."""
+    h = _half(n + shorter)
+    return F.xxhash64(F.lit(side), n + shorter, F.left(line, h) if side == "p" else F.right(line, h))
 
 
 def line_spots(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, rk, line_no, h1, h2, pk, sk): each line that is not blank, its hash and the keys of its halves."""
+    """(doc_id, rk, line_no, h1, h2, k0..k3): each line that is not blank, its two hashes and the keys of its halves by ``_ROLES``."""
     lines = docs.select("doc_id", "rk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("n", F.length("line"))
     long = F.col("n") >= max(min_chars, 3)
-    halves = [F.when(long, _keys(F.col("line"), side)).alias(f"{side}k") for side in "ps"]
-    return lines.select(*_HERE, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"), *halves)
+    keys = [F.when(long, _key(F.col("line"), F.col("n"), side, shorter)).alias(f"k{i}") for i, (side, shorter) in enumerate(_ROLES)]
+    return lines.select(*_HERE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), *keys)
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key occurs more than once."""
+    return keyed.join(small(materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))), "key", "left_semi")
+
+
+def _pieces(held: DataFrame) -> DataFrame:
+    """(pos, key, start, size, shorter, piece) from lines with the roles of their shared halves; the piece begins at character ``start`` of the line.
+
+    ``size`` counts the places at which the longer line of a pair may differ; a shorter line's piece has one character less.
+    """
+    roles = []
+    for i, (side, shorter) in enumerate(_ROLES):
+        n = F.length("line")
+        size = n + shorter - _half(n + shorter)
+        piece = F.right("line", size - shorter) if side == "p" else F.left("line", size - shorter)
+        here = F.struct(F.expr(f"keys[{i}]").alias("key"), (_half(n + shorter) if side == "p" else F.lit(0)).alias("start"), size.alias("size"), F.lit(bool(shorter)).alias("shorter"), piece.alias("piece"))
+        roles.append(F.when(F.expr(f"keys[{i}]").isNotNull(), here))
+    return held.select("pos", F.explode(F.array_compact(F.array(*roles))).alias("r")).select("pos", "r.*")
+
+
+def _parted(pieces: DataFrame) -> DataFrame:
+    """The parts of long pieces whose surroundings another line shares."""
+    less = F.col("shorter").cast("int")
+
+    def part(j: int) -> Column:
+        lo, hi = (F.floor(F.col("size") * k / PARTS).cast("int") for k in (j, j + 1))
+        around = F.xxhash64(F.lit(j), "key", F.left("piece", lo), F.right("piece", F.col("size") - hi))
+        return F.struct(around.alias("key"), (F.col("start") + lo).alias("start"), (hi - lo).alias("size"), F.substring("piece", lo + 1, hi - lo - less).alias("piece"))
+
+    return _shared(pieces.select("pos", "shorter", F.inline(F.array(*(part(j) for j in range(PARTS)))))).select("pos", "key", "start", "size", "shorter", "piece")
+
+
+def _without(line: str, at) -> Column:
+    """The line without its character ``at``."""
+    return F.concat(F.left(line, at), F.substring(line, at + 2, F.length(line)))
 
 
 def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """Of first occurrences with keys: those (doc_id, rk, line_no) that one edit ties to an earlier line."""
-    halves = F.concat(F.transform("pk", lambda k: F.struct(k.alias("key"), F.lit(True).alias("prefix"))), F.transform("sk", lambda k: F.struct(k.alias("key"), F.lit(False).alias("prefix"))))
-    halves = firsts.select(*_HERE, F.inline(halves))
-    shared = materialize(halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    wanted = halves.join(small(shared), "key", "left_semi").groupBy(*_HERE).agg(F.bool_or("prefix").alias("by_prefix"), F.bool_or(~F.col("prefix")).alias("by_suffix"))
-    spots = wanted.groupBy(F.col("doc_id").alias("p_doc"), F.col("rk").alias("p_rk")).agg(F.collect_list(F.struct("line_no", "by_prefix", "by_suffix")).alias("spots"))
+    halves = firsts.select(*_HERE, F.posexplode(F.array(*(f"k{i}" for i in range(len(_ROLES))))).alias("role", "key"))
+    roles = [F.max(F.when(F.col("role") == i, F.col("key"))) for i in range(len(_ROLES))]
+    wanted = _shared(halves).groupBy(*_HERE).agg(F.array(*roles).alias("keys"))
+    spots = wanted.groupBy(F.col("doc_id").alias("p_doc"), F.col("rk").alias("p_rk")).agg(F.collect_list(F.struct("line_no", "keys")).alias("spots"))
     held = docs.join(small(materialize(spots)), F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("rk") == F.col("p_rk")))
     held = held.select("doc_id", "rk", F.split("text", "\n").alias("all"), F.explode("spots").alias("s"))
-    held = held.select(F.struct("doc_id", "rk", F.col("s.line_no").alias("line_no")).alias("pos"), F.expr("all[s.line_no]").alias("line"), F.col("s.by_prefix").alias("by_prefix"), F.col("s.by_suffix").alias("by_suffix"))
+    held = held.select(F.struct("doc_id", "rk", F.col("s.line_no").alias("line_no")).alias("pos"), F.expr("all[s.line_no]").alias("line"), F.col("s.keys").alias("keys"))
     held = materialize(held.distinct())
-    n = F.length("line")
-    # an equal first half leaves the edit to what follows it, an equal second half to what comes before
-    half = _half(n)
-    places = F.when(F.col("by_prefix") & F.col("by_suffix"), F.sequence(F.lit(0), n - 1)).when(F.col("by_prefix"), F.sequence(half, n - 1)).otherwise(F.sequence(F.lit(0), n - half - 1))
-    cut = held.select("pos", "line", F.explode(places).alias("i"))
-    cut = cut.withColumn("variant", F.concat(F.expr("left(line, i)"), F.expr("substring(line, i + 2)")))
+    every = _pieces(held)
+    pieces, long = every.where(F.col("size") <= PIECE), every.where(F.col("size") > PIECE)
+    while long.limit(1).count():
+        parted = materialize(_parted(long))
+        pieces, long = pieces.unionByName(parted.where(F.col("size") <= PIECE)), parted.where(F.col("size") > PIECE)
+    longer = pieces.where("not shorter").select("pos", "key", "start", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - 1)).alias("i"))
+    variant = F.concat(F.expr("left(piece, i)"), F.expr("substring(piece, i + 2)"))
     kinds = F.array(
-        F.struct(F.xxhash64(F.lit("replace"), "i", F.length("variant"), "variant").alias("key"), F.lit(0).alias("kind")),
-        F.struct(F.xxhash64(F.lit("delete"), F.length("variant"), "variant").alias("key"), F.lit(1).alias("kind")),
+        F.struct(F.xxhash64(F.lit("replace"), "key", "i", "variant").alias("key"), F.lit(0).alias("kind")),
+        F.struct(F.xxhash64(F.lit("delete"), "key", "variant").alias("key"), F.lit(1).alias("kind")),
     )
-    emitted = cut.select("pos", F.inline(kinds)).unionByName(held.select("pos", F.xxhash64(F.lit("delete"), n, "line").alias("key"), F.lit(2).alias("kind")))
-    least = [F.min(F.when(F.col("kind") == i, F.col("pos"))).alias(k) for i, k in enumerate(("replace", "longer", "shorter"))]
+    emitted = longer.withColumn("variant", variant).select("pos", (F.col("start") + F.col("i")).alias("at"), F.inline(kinds))
+    emitted = emitted.unionByName(pieces.where("shorter").select("pos", F.lit(None).cast("int").alias("at"), F.xxhash64(F.lit("delete"), "key", "piece").alias("key"), F.lit(2).alias("kind")))
+    least = [F.min(F.when(F.col("kind") == i, F.struct("pos", "at"))).alias(k) for i, k in enumerate(("replace", "longer", "shorter"))]
     earliest = emitted.groupBy("key").agg(F.count("*").alias("n"), *least).where("n > 1").drop("n")
     partner = F.when(F.col("kind") == 0, F.col("replace")).when(F.col("kind") == 1, F.col("shorter")).otherwise(F.col("longer"))
-    met = emitted.join(earliest, "key").select("pos", partner.alias("partner")).where(F.col("partner") < F.col("pos")).distinct()
+    met = emitted.join(earliest, "key").select("pos", "kind", "at", partner.alias("p")).where(F.col("p.pos") < F.col("pos"))
+    met = met.select("pos", "kind", "at", F.col("p.pos").alias("partner"), F.col("p.at").alias("p_at")).distinct()
     other = held.select(F.col("pos").alias("partner"), F.col("line").alias("p_line"))
-    met = met.join(held.select("pos", "line"), "pos").join(other, "partner").where(F.levenshtein("line", "p_line", 1) == 1)
-    return met.select("pos.*")
+    met = met.join(held.select("pos", "line"), "pos").join(other, "partner")
+    equal = (
+        F.when(F.col("kind") == 0, _without("line", F.col("at")) == _without("p_line", F.col("at")))
+        .when(F.col("kind") == 1, _without("line", F.col("at")) == F.col("p_line")).otherwise(F.col("line") == _without("p_line", F.col("p_at")))
+    )
+    return met.where(equal).select("pos.*").distinct()
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -92,7 +139,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # lines that stand more than once, with their first place; a very common line is one row here
     again = materialize(spots.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     judged = spots.join(small(again), ["h1", "h2"], "left").withColumn("later", F.coalesce(F.col("first") < here, F.lit(False)))
-    firsts = judged.where("not later and pk is not null").select(*_HERE, "pk", "sk").distinct()
+    firsts = judged.where("not later and k0 is not null").select(*_HERE, *(f"k{i}" for i in range(len(_ROLES)))).distinct()
     return judged.where("later").select(*_HERE).unionByName(_near(docs, firsts))
 
 
