@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import materialize, repeated, row_key
 from .mixing import word_count
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -92,29 +92,32 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost: in
     Each word of each row is in exactly one chunk: words start .. start + length
     of the document stand at ``place`` of bin ``bin_id``.  A document without words, or
     with a null text, gives one chunk of length 0 in no bin (bin_id null, capacity
-    0).  Repeated rows, and rows without doc_id, are packed each for itself.  Other columns are ignored.
+    0).  A very long text fills several bins.  Repeated rows, and rows without doc_id, are packed each for itself; of
+    chunks of one length the smaller doc_id comes first, rows without one before all.  The result does not depend on the
+    order of rows or files.  An empty table gives an empty result.  Other columns are ignored.
     """
     capacities = tuple(sorted(set(capacities)))
     if not capacities or capacities[0] < 1:
         raise ValueError("capacities must be positive")
     top = capacities[-1]
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), word_count(F.col("text")).alias("n")))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), word_count(F.col("text")).alias("n"))
+    # rows that repeat id and text are alike here: they are counted and numbered, so that any order of rows packs the same
+    sized = materialize(sized.groupBy("doc_id", "rk", "n").agg(F.count("*").alias("copies")))
     parts = F.greatest(F.ceil(F.col("n") / top).cast("long"), F.lit(1).cast("long"))
-    total = sized.agg(F.sum(parts)).first()[0] or 0
-    chunks = sized.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    total = sized.agg(F.sum(parts * F.col("copies"))).first()[0] or 0
+    copies = repeated(sized, "copies", "copy")
+    chunks = copies.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     chunks = chunks.withColumn("start", F.col("chunk") * top).withColumn("length", F.least(F.lit(top).cast("long"), F.col("n") - F.col("start")))
-    # repeated rows share a key; the sequence number within the task spreads them over shards
-    spread = F.monotonically_increasing_id()
     shards = max(1, -(-int(total) // shard_chunks))
-    dealt = chunks.withColumn("shard", F.pmod(F.xxhash64("doc_id", "rk", "chunk", spread), F.lit(shards)))
+    dealt = chunks.withColumn("shard", F.pmod(F.xxhash64("doc_id", "rk", "chunk", "copy"), F.lit(shards)))
     empty = chunks.where("length = 0").select("doc_id", "chunk", "start", "length", F.lit(None).cast("long").alias("bin_id"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("capacity"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "rk", "chunk"], ascending=[False, True, True, True], kind="stable")
+        frame = frame.sort_values(["length", "known", "doc_id", "rk", "chunk", "copy"], ascending=[False, True, True, True, True, True], kind="stable")
         of, at, final = pack_shard(frame["length"].to_numpy(np.int64), capacities, bin_cost)
         shard = int(frame["shard"].iloc[0])
         return pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "known": frame["known"].to_numpy(), "chunk": frame["chunk"].to_numpy(), "start": frame["start"].to_numpy(), "length": frame["length"].to_numpy(), "bin_id": (shard << 32) + of, "place": at, "capacity": final})
 
-    packed = dealt.where("length > 0").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnotnull("doc_id").alias("known"), "rk", "chunk", "start", "length", "shard").groupBy("shard").applyInPandas(run, "doc_id long, known boolean, chunk long, start long, length long, bin_id long, place long, capacity long")
+    packed = dealt.where("length > 0").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnotnull("doc_id").alias("known"), "rk", "copy", "chunk", "start", "length", "shard").groupBy("shard").applyInPandas(run, "doc_id long, known boolean, chunk long, start long, length long, bin_id long, place long, capacity long")
     packed = packed.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")
     return packed.unionByName(empty)
