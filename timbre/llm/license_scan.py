@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hash_words, materialize, slices, split_words
+from .common import bounded_batches, hash_words, join_groups, materialize, slices, split_words
 
 SLOTS = 1 << 16
 THRESHOLD = 0.8
@@ -198,7 +198,8 @@ def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None
     (from ``from_dir``), or null with no licence.  Of equal cosines the run that begins first wins,
     then the alphabetically first licence; of several licence files in one directory the best match, then
     the smallest path.  A null text matches nothing but inherits; a null path
-    neither inherits nor speaks for a directory; repeated rows are judged alike.
+    neither inherits nor speaks for a directory; repeated rows are judged alike.  Very long
+    texts are judged whole; an empty table gives an empty result.
     Columns beside path and text are carried along, unless named like a result column.
     """
     templates = standard_templates() if templates is None else templates
@@ -237,7 +238,11 @@ def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None
     above = dirs.select("dir", F.explode(F.sequence(F.size(parts), F.lit(0), F.lit(-1))).alias("depth"), parts.alias("parts"))
     above = above.select("dir", "depth", F.concat_ws("/", F.slice("parts", 1, F.col("depth"))).alias("l_dir")).distinct()
     nearest = above.join(speaks, "l_dir").groupBy("dir").agg(F.max(F.struct("depth", "l_dir", "l_license")).alias("m")).select(F.col("dir").alias("n_dir"), "m")
-    out = own.join(nearest, F.col("license").isNull() & F.col("path").isNotNull() & (F.col("dir") == F.col("n_dir")), "left")
+    # a directory may hold a third of all files: those that inherit meet their directory's licence by size of the directory
+    heirs = own.where("license is null and path is not null")
+    sizes = heirs.groupBy("dir").agg(F.count("*").alias("files"))
+    found = materialize(sizes.join(nearest, F.col("dir") == F.col("n_dir"), "left").select("dir", "files", "m"))
+    out = join_groups(heirs, found, ["dir"], "files").drop("files").unionByName(own.where("license is not null or path is null").withColumn("m", F.lit(None).cast(found.schema["m"].dataType)))
     return out.select(
         *(F.col(f"`{c}`") for c in rest), "path", F.coalesce("license", F.col("m.l_license")).alias("license"), "score",
         F.when(F.col("how").isNotNull(), F.col("how")).when(F.col("m").isNotNull(), F.lit("inherited")).alias("how"),
