@@ -17,7 +17,8 @@ holds the symbol, wherever the window occurs.
    symbol of a third of all documents sends as many rows as there are tasks.  Exact copies are
    found on the same way, by whole-document names.
 3. Only windows whose symbol is shared are verified: by 128-bit values of their
-   whole word sequence, in the same two steps, against the smallest document of each.
+   whole word sequence, each half from its own half of the words' 128-bit digests, in the same two steps,
+   against the smallest document of each.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hash_words, materialize, mix, odd_keys, row_key, slices, split_words
+from .common import bounded_batches, materialize, mix, odd_keys, row_key, slices, split_words, word_names
 
 WINDOW = 13
 ROUNDS = 3
@@ -138,7 +139,7 @@ def window_values(names: np.ndarray, window: int, seed: int, at: np.ndarray) ->
 
 
 def _whole(names: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit values of each document's word sequence."""
+    """Two 64-bit values of each document's word sequence, from (words, 2) names."""
     digests = [hashlib.blake2b(names[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     return both[:, 0], both[:, 1]
@@ -221,14 +222,14 @@ def _emit_symbols(window: int, rounds: int):
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 words, offsets = split_words(batch.column("text")[a:b])
-                names = hash_words(words)
-                best = window_symbols(names, offsets, window, rounds)
+                both = word_names(words)
+                best = window_symbols(both[:, 0], offsets, window, rounds)
                 doc = np.repeat(np.arange(b - a), np.diff(offsets))
                 first = best != _NONE
                 first[1:] &= (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])
                 at = np.flatnonzero(first)
                 long = np.flatnonzero(np.diff(offsets) >= window)
-                w1, w2 = _whole(names, offsets)
+                w1, w2 = _whole(both, offsets)
                 # a document's own name is a row with the second half of it in "whole", which is 0 for symbols
                 symbol = np.concatenate([best[at].view(np.int64), w1[long]])
                 whole = np.concatenate([np.zeros(len(at), np.int64), w2[long] | 1])
@@ -305,8 +306,8 @@ def _emit_windows(window: int, rounds: int):
             lists = batch.column("symbols")
             for a, b in slices(batch.column("text")):
                 words, offsets = split_words(batch.column("text")[a:b])
-                names = hash_words(words)
-                best = window_symbols(names, offsets, window, rounds)
+                both = word_names(words)
+                best = window_symbols(both[:, 0], offsets, window, rounds)
                 known = best != _NONE
                 best = best.view(np.int64)
                 pick = np.zeros(len(best), bool)
@@ -316,7 +317,7 @@ def _emit_windows(window: int, rounds: int):
                         pick[p:q] = np.isin(best[p:q], lists[a + i].values.to_numpy(zero_copy_only=False))
                 at = np.flatnonzero(pick & known)
                 doc = np.repeat(np.arange(b - a), np.diff(offsets))[at]
-                v1, v2 = (window_values(names, window, seed, at).view(np.int64) for seed in (11, 12))
+                v1, v2 = (window_values(both[:, half], window, 11 + half, at).view(np.int64) for half in (0, 1))
                 rows.add(batch.column("doc_id")[a:b], batch.column("rk")[a:b], doc, v1, v2, at - offsets[doc])
                 if rows.size >= _HELD:
                     yield flush(rows)
@@ -371,7 +372,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     document with a smaller doc_id; windows are judged on the input.  ``kept`` is
     the rest, joined by single spaces.  A null text has no words; a null doc_id
     is smaller than all others; rows that repeat a doc_id do not remove each
-    other's words.  Other columns are ignored.
+    other's words.  Very long texts are read whole; an empty table gives an empty result.  Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
