@@ -376,6 +376,15 @@ def test_exact_dedup(spark, block):
     assert sorted(tuple(r) for r in exact_dedup(frame(spark, rows), block).collect()) == want
 
 
+def test_exact_dedup_where_all_blocks_share_a_hash(spark, monkeypatch):
+    from timbre.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "block_hash", lambda block: F.lit(7).cast("long"))
+    rows = [(i, ("abc" if i % 2 else "abd") * 5, None, None, None) for i in range(400)]
+    got = exact_dedup(frame(spark, rows), 8).groupBy("keep_id", "group_size").count().collect()
+    assert sorted(tuple(r) for r in got) == [(398, 200, 200), (399, 200, 200)]
+
+
 def test_exact_dedup_edges(spark):
     rows = [(1, "a" * 9, None, None, None), (1, "a" * 9, None, None, None), (1, "b" * 9, None, None, None), (None, "B" * 9, None, None, None), (None, None, None, None, None)]
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(frame(spark, rows), 2).collect()), key=repr)
@@ -422,6 +431,16 @@ def test_line_dedup(spark, seed):
     assert sorted(tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_removed").collect()) == brute_lines(rows, 8)
 
 
+def test_near_lines_of_a_megabyte(spark):
+    """Long single lines that differ by one edit, wherever it lies, and others that share all but two edits."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(1 << 20))
+    at = 700_000
+    texts = [base, base[:at] + "X" + base[at + 1 :], base[: at + 5] + base[at + 6 :], base + "y", "z" + base, base[:9] + "QQ" + base[11:], base[:300], base[:150] + "!" + base[150:300], "short"]
+    got = {r.doc_id: r.n_removed for r in line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0, 7: 1, 8: 0}
+
+
 def test_line_dedup_edges(spark):
     rows = [(1, "hello there\nhello there", None, None, None), (1, "hello there\nhello there", None, None, None), (None, "hello there", None, None, None)]
     got = sorted(((r["doc_id"], r["text"]) for r in line_dedup(frame(spark, rows)).collect()), key=repr)

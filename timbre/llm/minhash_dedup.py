@@ -13,7 +13,8 @@
    bounded size inside array code: signatures first, then an upper bound of the
    overlap from 16-bit shingle codes, which only rules out what cannot be a link.  What
    is left, at most a spanning forest of each block, is verified like any candidate.
-   This goes on, without the pairs that were refuted, until a round refutes none.
+   Where a pair is refuted its buckets are compared again, without it and with all other
+   candidates of its members, until a round refutes none.
 
 With 32 bands of 4 values a pair of similarity 0.8 shares no band with a chance below 1e-7.
 """
@@ -253,7 +254,7 @@ class _Block:
 
 
 def _compare(left: _Block, right: _Block, same: bool, band: int, width: int, percent: int, bound: int, miss: float) -> list[tuple[bytes, bytes]]:
-    """Pairs that may be links between components, taken to be links as soon as they are found: a spanning forest of them at most.
+    """Pairs that may be links between components, taken to be links as soon as they are found: a spanning forest of them, unless pairs were refuted.
 
     ``left``'s seekers meet all of ``right``.  A pair is looked at only in the first band that it shares.
     """
@@ -283,6 +284,8 @@ def _compare(left: _Block, right: _Block, same: bool, band: int, width: int, per
             if r_comp[j] == l_comp[i] or right.nodes[j] in left.refuted[i] or left.nodes[i] in right.refuted[j]:
                 continue
             out.append((left.nodes[i], right.nodes[j]))
+            if left.refuted[i]:  # the bound misled before: all candidates of this one are verified
+                continue
             old, new = r_comp[j], l_comp[i]
             r_comp[r_comp == old] = new
             l_comp[l_comp == old] = new
@@ -413,6 +416,9 @@ class NearDuplicates:
             if not wrong.limit(1).count():
                 return links, comps
             wrong = wrong.unionByName(wrong.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            # only a refuted pair can have hidden others, and only in a bucket that holds it
+            again = buckets.join(wrong.select(F.col("a").alias("node")).distinct(), "node").select("bucket").distinct()
+            buckets = materialize(buckets.join(again, "bucket", "left_semi"))
             refuted = materialize(wrong if refuted is None else refuted.unionByName(wrong))
 
     def components(self) -> DataFrame:
