@@ -17,10 +17,11 @@ from timbre import cli
 from timbre.plans import content, corpus, history, lifecycle, lineage, matched, packs, runtime
 from timbre.plans import listening as blind
 from timbre.plans.checks import ContractViolation
-from timbre.queries.audio import PATTERN, tone
+from timbre.queries.audio import recording
 from timbre.sources import artifacts, audio_files, documents, fingerprints, wav
 
 H = "a" * 64
+SPEECH = [(0.5, 0.3), (0.2, 0.0), (0.9, 0.6), (0.4, 0.0), (0.4, 0.2)]
 PACKAGE = {
     "schema_version": "1.0.0", "package_id": "p", "base_model": "m", "rights_note": "r", "evaluation_report": "e", "smoke_command": "c", "artifact": {"path": "x", "sha256": H, "bytes": 3, "kind": "adapter"},
     "code_revision": "b" * 40, "inference_configuration": {}, "known_failure_modes": [],
@@ -67,7 +68,7 @@ def edits(a, b):
 def test_word_error_rate(spark):
     rng = random.Random(0)
     rows = [([f"w{rng.randrange(k)}" for _ in range(rng.randrange(40))], [f"w{rng.randrange(k)}" for _ in range(rng.randrange(40))]) for k in (2, 9, 400) for _ in range(20)]
-    df = spark.createDataFrame(rows, "r array<string>, h array<string>").select("r", "h", T.edit_distance(F.col("r"), F.col("h")).alias("e"), T.word_error_rate(F.col("r"), F.col("h")).alias("w"))
+    df = spark.createDataFrame(rows, "r array<string>, h array<string>").transform(lambda d: T.with_word_errors(d, "r", "h")).withColumnsRenamed({"edits": "e", "wer": "w"})
     for x in df.collect():
         assert x["e"] == edits(x["r"], x["h"]) and (x["w"] is None if not x["r"] else x["w"] == pytest.approx(x["e"] / len(x["r"])))
 
@@ -126,9 +127,9 @@ def test_pauses(spark):
 
 def test_wav(spark, tmp_path):
     for name, width in (("a", 1), ("b", 2), ("c", 3), ("d", 4)):
-        (tmp_path / f"{name}.wav").write_bytes(tone(PATTERN, width=width))
+        (tmp_path / f"{name}.wav").write_bytes(recording(SPEECH, width=width))
     (tmp_path / "x.wav").write_bytes(b"no wave")
-    rows = {r["path"][-5]: r for r in wav.probe_files(spark, str(tmp_path), lambda c: wav.level_probe(c) | wav.prosody_probe(c), ["peak", "pause_count", "audio_duration_seconds"]).collect()}
+    rows = {r["path"][-5]: r for r in wav.probe_files(spark, str(tmp_path), lambda c: wav.level_probe(c) | wav.prosody_metrics(c), ["peak", "pause_count", "audio_duration_seconds"]).collect()}
     for name in "abcd":
         assert rows[name]["peak"] == pytest.approx(0.6, abs=0.02) and rows[name]["pause_count"] == 2 and rows[name]["audio_duration_seconds"] == pytest.approx(2.4)
     assert rows["x"]["status"] == "failed" and rows["x"]["error_type"]
@@ -136,9 +137,9 @@ def test_wav(spark, tmp_path):
 
 def test_similar_audio(spark, tmp_path):
     shape = [(0.2, 0.3), (0.2, 0.7), (0.2, 0.2), (0.3, 0.6), (0.2, 0.4), (0.3, 0.8), (0.2, 0.1), (0.2, 0.5)]
-    (tmp_path / "train.wav").write_bytes(tone([(0.2, 0), *shape, (0.1, 0)], 240, 8000))
-    (tmp_path / "test.wav").write_bytes(tone([(0.15, 0), *((s, a * 0.45) for s, a in shape)], 240, 12000, 1))
-    (tmp_path / "test2.wav").write_bytes(tone([(s, 0.9 - a) for s, a in shape], 1300, 8000))
+    (tmp_path / "train.wav").write_bytes(recording([(0.2, 0), *shape, (0.1, 0)], 240, 240, 8000))
+    (tmp_path / "test.wav").write_bytes(recording([(0.15, 0), *((s, a * 0.45) for s, a in shape)], 240, 240, 12000, 1))
+    (tmp_path / "test2.wav").write_bytes(recording([(s, 0.9 - a) for s, a in shape], 1300, 1300, 8000))
     p = fingerprints.read_fingerprints(spark, str(tmp_path)).withColumn("id", F.element_at(F.split("path", "/"), -1)).withColumn("split", F.when(F.col("id") == "train.wav", "train").otherwise("test"))
     got = corpus.similar_audio(p)["candidates"].collect()
     assert [(r["left_id"], r["right_id"]) for r in got] == [("test.wav", "train.wav")] and not got[0]["reached"]
@@ -182,7 +183,7 @@ def test_lineage(spark, tmp_path):
     (tree / "a.txt").write_text("changed")
     assert {r["role"]: r["status"] for r in lineage.verify_receipt(spark, receipt, inputs, outputs).collect()} == {"raw": "differs", "out": "exact"}
     assert artifacts.unchanged(spark.createDataFrame(before), artifacts.file_records(spark, str(tree))).count() == 1
-    for bad in (lambda: lineage.build_receipt(spark, "id", "latest", inputs, outputs), lambda: lineage.verify_receipt(spark, receipt | {"producer_revision": "d"}, inputs, outputs), lambda: lineage.declarations(["x=y=z"])):
+    for bad in (lambda: lineage.build_receipt(spark, "id", "latest", inputs, outputs), lambda: lineage.build_receipt(spark, "id", "v1.0", inputs, outputs), lambda: lineage.verify_receipt(spark, receipt | {"lineage_id": "d"}, inputs, outputs), lambda: lineage.declarations(["x=y=z"])):
         with pytest.raises(ContractViolation):
             bad()
 
@@ -254,16 +255,32 @@ def test_speaker(spark):
 
 
 def test_content_gate(spark):
-    rows = [("s1", "c", 1, True, "one two three four five", "one two three four five", "seven eight nine ten eleven twelve", None), ("s2", "c", 2, True, "one two three four", "seven eight nine ten eleven twelve", "seven eight nine ten eleven twelve", None), ("s3", "d", 3, True, "a b", None, None, None), ("s4", "e", 4, True, "go " * 8, "go " * 8, None, None), ("s5", "e", 5, True, "x " * 5000, "x", None, None)]
-    df = spark.createDataFrame(rows, "sample_id string, candidate_id string, ord long, valid boolean, requested string, hypothesis string, reference string, instruction string").withColumn("report_id", F.lit("r"))
-    got = content.diagnostics(df)
-    assert {r["sample_id"]: (r["status"], r["reference_hits"]) for r in got.collect()} == {"s1": ("not_flagged", 0), "s2": ("flagged", 3), "s3": ("incomplete", 0), "s4": ("not_flagged", 0), "s5": ("error", 0)}
-    assert {r["candidate_id"]: r["verdict"] for r in content.candidate_summary(got).collect()} == {"c": "failed", "d": "incomplete", "e": "incomplete"}
+    ref = spark.createDataFrame([("r1", "seven eight nine ten eleven twelve"), ("r2", "one two three four"), ("r3", "ﬁve SIX seven eight")], "reference_id string, transcript string")
+    five = "one two three four five"
+    rows = [
+        ("s1", "c", True, five, five, None, ["r1", "r2"]), ("s2", "c", True, "one two three four", "seven eight nine ten eleven twelve", None, ["r1"]), ("s3", "d", True, "a b", None, None, []),
+        ("s4", "e", True, "go " * 8, "go " * 8, "say it fast", ["r1"]), ("s5", "e", False, "x", "x", None, []), ("s6", "f", True, five, five + " say it", "Say it, now", ["r3"]), ("s7", "f", True, "go now", "go go go go go go go", "go now", []),
+    ]
+    df = spark.createDataFrame(rows, "sample_id string, candidate_id string, valid boolean, requested string, hypothesis string, instruction string, references array<string>").withColumn("report_id", F.lit("r"))
+    got = {r["sample_id"]: r for r in content.diagnostics(df, ref).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"s1": "not_flagged", "s2": "failed", "s3": "not_evaluable", "s4": "not_flagged", "s5": "failed", "s6": "failed", "s7": "failed"}
+    assert got["s2"]["reference_hits"] == 3 and got["s2"]["reference_transcript_overlap"]
+    import hashlib
+
+    grams = sorted(["seven eight nine ten", "eight nine ten eleven", "nine ten eleven twelve"])
+    assert got["s2"]["reference_digests"] == [hashlib.sha256(g.encode()).hexdigest() for g in grams]
+    assert (got["s6"]["instruction_exclusive"], got["s6"]["instruction_hits"], got["s6"]["spoken_instruction_overlap"]) == (2, 1, True)
+    assert (got["s4"]["excess"], got["s4"]["instruction_status"]) == (0, "evaluated") and (got["s7"]["windows"], got["s7"]["excess"], got["s7"]["instruction_status"]) == (4, 3, "no_exclusive_ngrams")
+    verdicts = {r["candidate_id"]: r["verdict"] for r in content.candidate_summary(content.diagnostics(df, ref)).collect()}
+    assert verdicts == {"c": "failed", "d": "incomplete", "e": "failed", "f": "failed"}
+    for bad in (df.withColumn("requested", F.repeat(F.lit("x "), 5000)), df.withColumn("references", F.array(F.lit("r9"))), df.withColumn("requested", F.lit("..."))):
+        with pytest.raises(ContractViolation):
+            content.diagnostics(bad, ref)
 
 
 def test_listening(spark):
-    plan = spark.createDataFrame([(f"{c}-{p}", c, p, 1, "k") for c in ("a", "b") for p in ("p1", "p2", "p3")], "sample_id string, candidate_id string, prompt_id string, seed long, category string")
-    routes = spark.createDataFrame([("nat", "all_samples", []), ("acc", "prompts", ["p1"])], "criterion string, selector string, wanted array<string>")
+    plan = spark.createDataFrame([(f"{c}-{p}", c, p, 1, f"k{p[1]}") for c in ("a", "b") for p in ("p1", "p2", "p3")], "sample_id string, candidate_id string, prompt_id string, seed long, category string")
+    routes = spark.createDataFrame([("nat", "all_samples", []), ("acc", "categories", ["k1"])], "criterion string, selector string, wanted array<string>")
     assigned = blind.assignment(plan, routes)
     assert assigned.count() == 8
     with pytest.raises(ContractViolation):
@@ -280,9 +297,16 @@ def test_listening(spark):
     for bad in (scores.where("criterion <> 'nat'"), scores.withColumn("score", F.lit(9.0)), scores.unionByName(scores.limit(1))):
         with pytest.raises(ContractViolation):
             blind.submission(packet, bad, 1, 5)
-    exact = listening.schedule_exact({"b1": ["x", "y"], "b2": ["x", "y"]}, ["r2", "r1"], 5)
-    assert sorted(exact) == ["r1", "r2"] and all(sorted(v) == ["x", "x", "y", "y"] for v in exact.values())
-    assert sorted(listening.blind_labels_exact(["q", "p"], 1).values()) == ["sample-0001", "sample-0002"]
+    with pytest.raises(ContractViolation):  # p2 and p3 would have no criterion
+        blind.assignment(plan, routes.where("criterion = 'acc'"))
+    blocks = {(f"p{i}", 1): {c: f"{c}{i}" for c in "abc"} for i in range(4)}
+    exact = listening.schedule_exact(blocks, ["r2", "r1"], 5)
+    order = sorted(blocks)
+    random.Random(int(canonical_sha256({"rater_id": "r2", "schedule_seed": 5})[:16], 16)).shuffle(order)
+    assert exact["r2"] == ["abc"[(p + 1 + int(b[0][1])) % 3] + b[0][1] for p in range(3) for b in order] and sorted(exact) == ["r1", "r2"]
+    shuffled = ["q", "p", "z"]
+    random.Random(1).shuffle(shuffled)
+    assert listening.blind_labels_exact(["q", "p", "z"], 1) == {x: f"sample-{i:04d}" for i, x in enumerate(shuffled, 1)}
 
 
 def test_lifecycle(spark, tmp_path):
@@ -314,17 +338,26 @@ def test_first_seen_stream(spark, tmp_path):
 
 
 PACK = {
-    "id": "pack", "version": "1", "seeds": [1, 2], "objective_metrics": ["wer"], "listening_criteria": ["natural"],
-    "prompts": [{"id": "p1", "text": "Take the MRT to Bishan", "category": "place", "lexical_anchors": [{"anchor_id": "b", "surface": "Bishan", "accepted_asr_forms": ["bee shan"]}]}, {"id": "p2", "text": "Hello", "category": "talk"}],
+    "id": "pack", "version": "1", "locale": "en-SG", "purpose": "test", "objective_metrics": ["asr_word_error_rate"], "listening_criteria": ["natural"], "measurement_limits": ["none"],
+    "generation": {"seeds": [1, 2], "seeds_per_candidate": 2, "require_same_transcripts": True, "require_frozen_generation_settings": True},
+    "prompts": [
+        {"id": "p1", "text": "Take the MRT to Bishan", "category": "pronunciation", "lexical_anchors": [{"anchor_id": "b", "surface": "Bishan", "accepted_asr_forms": ["bee shan", "bishan"]}]},
+        {"id": "p2", "text": "Hello", "category": "long_form_cadence", "instruction": "slowly"},
+    ],
 }
 
 
 def test_prompt_packs(spark):
     assert packs.pack_breaches(PACK) == []
     anchor = PACK["prompts"][0]["lexical_anchors"][0]
-    bad = PACK | {"seeds": [1, 1], "prompts": [PACK["prompts"][0] | {"lexical_anchors": [anchor | {"surface": "Toa"}, {"anchor_id": "c", "surface": "MRT", "accepted_asr_forms": ["bee  shan"]}]}, PACK["prompts"][0]]}
-    assert {("$.seeds", "unique"), ("$.prompts[1].id", "unique"), ("$.prompts[0].lexical_anchors[0].surface", "occurs_once"), ("$.prompts[0].lexical_anchors[1].accepted_asr_forms", "collides")} <= set(packs.pack_breaches(bad))
+    bad = PACK | {"generation": PACK["generation"] | {"seeds": [1, 1, 1]}, "objective_metrics": ["loudness"], "prompts": [PACK["prompts"][0] | {"lexical_anchors": [anchor | {"surface": "Toa"}, {"anchor_id": "c", "surface": "MRT", "accepted_asr_forms": ["bee  shan", "take"]}]}, PACK["prompts"][0]]}
+    assert {
+        ("$.generation.seeds", "unique"), ("$.generation.seeds_per_candidate", "number_of_seeds"), ("$.prompts[1].id", "unique"), ("$.prompts[0].lexical_anchors[0].surface", "occurs_once"), ("$.objective_metrics[0]", "allowed"),
+        ("$.prompts[0].lexical_anchors[1].accepted_asr_forms", "collides"), ("$.prompts[0].lexical_anchors[1].accepted_asr_forms", "includes_surface"), ("$.prompts[0].lexical_anchors[1].accepted_asr_forms", "absent_from_text"),
+        ("$.prompts", "has_long_form_cadence"), ("$.prompts[1].lexical_anchors", "anchor_ids_unique_across_prompts"),
+    } <= set(packs.pack_breaches(bad))
     header, plan = packs.plan_from_pack(spark, PACK, ["b", "a"])
+    assert plan.where("prompt_id = 'p1' and candidate_id = 'a' and seed = 2").first()["expected_audio_path"] == "audio/a/p1/seed-2.wav"
     assert header["sample_count"] == plan.count() == 8 and header["prompt_pack"]["sha256"] == canonical_sha256(PACK)
     obs = plan.where("not (candidate_id = 'a' and seed = 2)").withColumn("valid", F.col("prompt_id") == "p1").drop("category")
     got = packs.coverage(plan, obs.unionByName(obs.limit(1)))
@@ -337,7 +370,7 @@ def test_prompt_packs(spark):
 def test_audio_files(spark, tmp_path):
     import hashlib
 
-    data = tone(PATTERN)
+    data = recording(SPEECH)
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.wav").write_bytes(data)
     (tmp_path / "in" / "b.wav").write_bytes(b"")
@@ -346,7 +379,7 @@ def test_audio_files(spark, tmp_path):
     obs = spark.createDataFrame(rows, "sample_id string, audio_path string, audio_sha256 string, valid boolean")
     got = {r["sample_id"]: r["fault"] for r in audio_files.verify_audio(spark, obs, str(tmp_path / "in")).collect()}
     assert got == {"s1": None, "s2": "audio_differs", "s3": "audio_missing", "s4": "audio_path_leaves_base", "s5": "audio_missing", "s6": "audio_path_missing"}
-    probed = {r["sample_id"]: (r["status"], r["pause_count"]) for r in audio_files.probe_observations(spark, obs, str(tmp_path / "in"), wav.prosody_probe, ["pause_count"]).collect()}
+    probed = {r["sample_id"]: (r["status"], r["pause_count"]) for r in audio_files.probe_observations(spark, obs, str(tmp_path / "in"), wav.prosody_metrics, ["pause_count"]).collect()}
     assert probed["s1"] == ("complete", 2.0) and probed["s2"] == ("failed", None) and len(probed) == 6
     manifest = obs.where("sample_id in ('s1', 's5')").selectExpr("sample_id", "audio_path", "audio_sha256", "cast(null as long) seed", "cast(null as string) prompt_id", "'x' requested_text")
     c = history.audit_prosody(spark, manifest, str(tmp_path / "in"))["coverage"].first()
@@ -367,15 +400,22 @@ def test_runtime_manifests(spark, tmp_path):
     (tmp_path / "a").write_text("a")
     (tmp_path / "b").write_text("b")
     one, two = [f"weights=file={tmp_path / 'a'}"], [f"weights=file={tmp_path / 'b'}"]
-    m = runtime.build_manifest(spark, "r", "v1.2", one, one, "exact")
-    assert runtime.verify_manifest(spark, m, one, one)
-    obs = spark.createDataFrame([("s", "r", m["runtime_set_sha256"]), ("t", "r", H)], "sample_id string, runtime_id string, artifact_set_sha256 string")
-    assert [r["sample_id"] for r in runtime.exact_runtimes(spark.createDataFrame([(m["runtime_id"], m["relation"], m["runtime_set_sha256"])], "runtime_id string, relation string, runtime_set_sha256 string"), obs).collect()] == ["s"]
+    exact, derived = {"runtime_id": "r", "relation": "exact", "artifacts": one}, {"runtime_id": "q", "relation": "derived", "artifacts": two, "conversion": {"tool": "t", "revision": "v1.2"}}
+    m = runtime.build_manifest(spark, "set", "repo", "c" * 40, one, [exact, derived])
+    assert runtime.verify_manifest(spark, m, one, [exact, derived]) and m["runtime_bindings"][1]["derived_from_sha256"] == m["source_artifact_set_sha256"]
+    obs = spark.createDataFrame([("s", "r", m["source_artifact_set_sha256"]), ("t", "r", H), ("u", "q", m["runtime_bindings"][1]["artifact_set_sha256"])], "sample_id string, runtime_id string, artifact_set_sha256 string")
+    assert [r["sample_id"] for r in runtime.exact_runtimes(runtime.bindings_frame(spark, m), obs).collect()] == ["s"]
     (tmp_path / "a").write_text("c")
-    assert not runtime.verify_manifest(spark, m, one, one)
+    assert not runtime.verify_manifest(spark, m, one, [exact, derived])
+    (tmp_path / "empty").write_text("")
     identity = [{"role": "corpus", "sha256": H}]
     runtime.resume_receipt("r", "interrupted_resumed", 10, 10, identity, 4, 4, "SIGTERM")
-    for bad in (lambda: runtime.build_manifest(spark, "r", "v1", one, two, "exact"), lambda: runtime.build_manifest(spark, "r", "main", one, one, "exact"), lambda: runtime.resume_receipt("r", "interrupted_resumed", 10, 10, identity, 4, 5, "SIGTERM"), lambda: runtime.resume_receipt("r", "uninterrupted", 10, 10, identity, 4)):
+    build = lambda *b, revision="c" * 40: runtime.build_manifest(spark, "set", "repo", revision, one, list(b))
+    for bad in (
+        lambda: build(exact), lambda: build(exact, exact), lambda: build(exact, derived | {"relation": "exact"}), lambda: build(exact, derived | {"conversion": {"tool": "t", "revision": "main"}}), lambda: build(exact, derived, revision="v1"),
+        lambda: build(exact, derived | {"artifacts": [f"weights=file={tmp_path / 'empty'}"]}),
+        lambda: runtime.resume_receipt("r", "interrupted_resumed", 10, 10, identity, 4, 5, "SIGTERM"), lambda: runtime.resume_receipt("r", "uninterrupted", 10, 10, identity, 4),
+    ):
         with pytest.raises(ContractViolation):
             bad()
 
@@ -389,8 +429,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("validate", "package", tmp_path / "package.json") == (0, {"errors": [], "valid": True})
     assert run("validate", "evaluation", tmp_path / "package.json")[0] == 1
     assert cli.main(["validate", "package", str(tmp_path / "none")], spark) == 2
-    (tmp_path / "t.wav").write_bytes(tone(PATTERN))
-    assert run("probe-prosody", tmp_path / "t.wav")[1]["pause_count"] == 2 and run("compare-audio", tmp_path / "t.wav", tmp_path / "t.wav")[1]["peak"] == 0
+    (tmp_path / "t.wav").write_bytes(recording(SPEECH))
+    assert run("probe-prosody", tmp_path / "t.wav")[1]["metrics"]["pause_count"] == 2 and run("compare-audio", tmp_path / "t.wav", tmp_path / "t.wav")[1]["peak"] == 0
     (tmp_path / "pack.json").write_text(json.dumps(PACK))
     code, plan = run("build-generation-plan", tmp_path / "pack.json", "--candidate", "b", "--candidate", "a")
     assert code == 0 and plan["sample_count"] == 8

@@ -12,12 +12,14 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.identity import canonical_sha256
 from .operators import rules
 from .operators.contracts import SHAPES, breaches
-from .plans import corpus, lineage, listening, matched, packs, runtime
+from .plans import content, corpus, extraction, history, lineage, listening, matched, objective, pack_documents, packs, runtime
 from .plans.checks import ContractViolation
 from .sources import documents
-from .sources.wav import level_probe, prosody_probe
+from .sources.audio_files import verify_audio
+from .sources.wav import level_probe, prosody_difference, prosody_metrics, prosody_status
 
 
 def _load(path: str) -> Any:
@@ -63,7 +65,12 @@ def probe_audio(spark, a):
 
 
 def probe_prosody(spark, a):
-    return prosody_probe(Path(a.wav).read_bytes()), False
+    metrics = prosody_metrics(Path(a.wav).read_bytes())
+    return {"status": prosody_status(metrics), "metrics": metrics}, False
+
+
+def compare_prosody(spark, a):
+    return {"candidate_minus_reference": prosody_difference(*(Path(p).read_bytes() for p in (a.reference, a.candidate)))}, False
 
 
 def _difference(probe: Callable[[bytes], dict]):
@@ -117,15 +124,153 @@ def compare_resume(spark, a):
     return {"roles": rows}, not all(r["byte_exact"] for r in rows)
 
 
+def _bindings(path: str) -> tuple[dict, list[str], list[dict]]:
+    """A binding plan with its artifacts as declarations; relative paths start at the plan."""
+    plan, base = _load(path), Path(path).parent
+    told = lambda rows: [f"{r['role']}={r['kind']}={base / r['path']}" for r in rows]
+    return plan, told(plan["source_artifacts"]), [b | {"artifacts": told(b["artifacts"])} for b in plan["runtime_bindings"]]
+
+
 def build_runtime(spark, a):
-    return runtime.build_manifest(spark, a.id, a.revision, a.source, a.runtime, a.relation), False
+    plan, source, bindings = _bindings(a.binding_plan)
+    return runtime.build_manifest(spark, plan["artifact_set_id"], plan["producer"]["repository"], plan["producer"]["revision"], source, bindings), False
 
 
 def verify_runtime(spark, a):
-    good = runtime.verify_manifest(spark, _load(a.manifest), a.source, a.runtime)
+    _, source, bindings = _bindings(a.binding_plan)
+    good = runtime.verify_manifest(spark, _load(a.manifest), source, bindings)
     return {"unchanged": good}, not good
 
 
+def _full(spark: SparkSession, path: str) -> DataFrame:
+    return documents.read_array(spark, path, "observations", documents.FULL_OBSERVATION)
+
+
+_FULL_PLAN = (
+    "samples array<struct<sample_id:string,candidate_id:string,prompt_id:string,category:string,seed:bigint,text:string,instruction:string,"
+    "lexical_anchors:array<struct<anchor_id:string,surface:string,accepted_asr_forms:array<string>>>>>"
+)
+
+
+def _full_plan(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_FULL_PLAN).option("multiLine", True).json(path).select(F.inline("samples"))
+
+
+def score_objective(spark, a):
+    plan = a.generation_plan and _full_plan(spark, a.generation_plan)
+    digest = a.generation_plan and objective.plan_digest(_load(a.generation_plan))
+    parts = objective.score_objective(_full(spark, a.observations), plan or None, digest, int(a.seed))
+    return {k: _rows(v.orderBy(*v.columns[:3])) if isinstance(v, DataFrame) else v for k, v in parts.items() if k not in ("anchor_results",)}, False
+
+
+def fingerprint_observations(spark, a):
+    return {"sha256": extraction.document_digest(_full(spark, a.observations))}, False
+
+
+def build_identity(spark, a):
+    return extraction.extractor_identity(spark, a.kind, a.name, a.revision, a.artifact), False
+
+
+def build_reference(spark, a):
+    return extraction.speaker_reference(spark, a.reference_id, a.audio, a.transcript), False
+
+
+def _references(texts: list[str]) -> dict[str, tuple[str, str]]:
+    out = {t.split("=")[0]: tuple(t.split("=")[1:]) for t in texts if t.count("=") == 2}
+    if len(out) < len(texts):
+        raise ContractViolation("references are ID=AUDIO=TRANSCRIPT, each id once")
+    return out
+
+
+def build_catalog(spark, a):
+    return extraction.speaker_catalog(spark, a.catalog_id, _references(a.speaker_reference)), False
+
+
+def _probe(kind: str):
+    def run(spark, a):
+        obs = _full(spark, a.observations)
+        code = Path(__file__).parent / "sources" / "wav.py"
+        identity = extraction.extractor_identity(spark, kind, f"timbre_{kind}", a.extractor_revision, [f"implementation=file={code}"])
+        rows = _rows(extraction.probe_results(spark, obs, a.audio_base_dir, kind).orderBy("sample_id"))
+        return {"schema_version": "1.0.0", "source_observations_sha256": extraction.document_digest(obs), "extractor": identity, "results": rows}, False
+
+    return run
+
+
+_TYPES = {"hypothesis_text": "string", "speaker_embedding": "array<double>", "reference_speaker_embedding": "array<double>", "reference_speaker_embeddings": "array<struct<reference_id:string,embedding:array<double>>>", "prosody_eligible_for_long_form": "boolean"}
+
+
+def apply_results(spark, a):
+    obs, told = _full(spark, a.observations), _load(a.results)
+    if told.get("source_observations_sha256") != extraction.document_digest(obs):
+        raise ContractViolation("the results are of other observations")
+    identity, artifacts = told["extractor"], a.extractor_artifact
+    if not artifacts and identity["name"].startswith("timbre_"):
+        artifacts = [f"implementation=file={Path(__file__).parent / 'sources' / 'wav.py'}"]
+    if extraction.extractor_identity(spark, identity["kind"], identity["name"], identity["revision"], artifacts or []) != identity:
+        raise ContractViolation("the extractor is not what the results name")
+    names = extraction.FIELDS[identity["kind"]]
+    shape = "sample_id string, audio_sha256 string, status string, " + "".join(f"{n} {_TYPES.get(n, 'double')}, " for n in names) + "reference_ids array<string>, error_type string, error string"
+    results = spark.read.schema(shape).json(spark.sparkContext.parallelize([json.dumps({**r, **r.get("values", {})}) for r in told["results"]]))
+    out = extraction.apply_extraction(spark, obs, results, identity, a.audio_base_dir)
+    return {"observations": _rows(out.orderBy("_ord").drop("_ord"))}, False
+
+
+def verify_audio_files(spark, a):
+    rows = _rows(verify_audio(spark, _full(spark, a.observations), a.audio_base_dir).orderBy("sample_id"))
+    return {"samples": rows}, any(r.get("fault") for r in rows)
+
+
+def content_report(spark, a):
+    catalog = _load(a.reference_catalog)
+    extraction.check_catalog(catalog)
+    paths = _references(a.speaker_reference)
+    if extraction.speaker_catalog(spark, catalog["catalog_id"], paths) != catalog:
+        raise ContractViolation("the catalog is not of the live references")
+    refs = spark.createDataFrame([(r, Path(t).read_text()) for r, (_, t) in sorted(paths.items())], "reference_id string, transcript string")
+    wanted = spark.createDataFrame([(x["prompt_id"], x["seed"], x["reference_ids"]) for x in _load(a.speaker_reference_plan)["assignments"]], "prompt_id string, seed long, references array<string>")
+    obs, plan = _full(spark, a.observations), _full_plan(spark, a.generation_plan)
+    matched.bind_to_plan(obs, plan, [r["candidate_id"] for r in plan.select("candidate_id").distinct().collect()])
+    samples = obs.join(plan.select("sample_id", "instruction"), "sample_id").join(wanted, ["prompt_id", "seed"], "left")
+    samples = samples.select(F.lit("report").alias("report_id"), "sample_id", "candidate_id", "valid", F.col("requested_text").alias("requested"), F.col("hypothesis_text").alias("hypothesis"), "instruction", F.coalesce("references", F.array().cast("array<string>")).alias("references"))
+    got = content.diagnostics(samples, refs, int(a.ngram_size), int(a.instruction_ngram_size))
+    report = {"samples": _rows(got.orderBy("sample_id")), "candidates": _rows(content.candidate_summary(got).orderBy("candidate_id")), "generation_plan_sha256": canonical_sha256(_load(a.generation_plan)), "reference_catalog_sha256": catalog["catalog_sha256"]}
+    return report, any(r["verdict"] == "failed" for r in report["candidates"])
+
+
+def build_assignment(spark, a):
+    plan, routes = _load(a.generation_plan), listening.routes_frame(spark, _load(a.routing))
+    rows = [r.asDict() for r in listening.assignment(_full_plan(spark, a.generation_plan), routes).select("sample_id", "criterion").collect()]
+    told = [r.asDict() for r in routes.orderBy("place").collect()]
+    return pack_documents.assignment_document(plan, rows, told), False
+
+
+def build_pack(spark, a):
+    samples = _load(a.samples)
+    raters = _load(a.rater_ids) if a.rater_ids else None
+    review, reveal = pack_documents.blind_pack(samples, int(a.seed), _load(a.assignment_plan), raters)
+    return {"review": review, "reveal": reveal}, False
+
+
+def export_packet(spark, a):
+    return pack_documents.rater_packet(_load(a.review), a.rater_id), False
+
+
+def build_submission(spark, a):
+    return pack_documents.submission(_load(a.packet), _load(a.ratings), bool(a.allow_incomplete)), False
+
+
+def compare_matched_prosody(spark, a):
+    out = matched.compare_prosody(_full(spark, a.observations), _plan(spark, a.plan), a.baseline, a.adapted)
+    return {"pairs": _rows(out["pairs"].orderBy("prompt_id", "seed", "proxy")), "summary": _rows(out["summary"].orderBy("proxy"))}, False
+
+
+def audit_history(spark, a):
+    rows = spark.read.schema("samples array<struct<sample_id:string,audio_path:string,audio_sha256:string,seed:bigint,prompt_id:string,requested_text:string>>").option("multiLine", True).json(a.manifest).select(F.inline("samples"))
+    out = history.audit_prosody(spark, rows, a.audio_base_dir)
+    return {"results": _rows(out["results"].orderBy("sample_id")), "coverage": _rows(out["coverage"])}, False
+
+
 _RATING = "rater_id string, criterion string, blind_id string, score double"
 
 
@@ -136,14 +281,30 @@ def aggregate_listening(spark, a):
     return report, bool(report["missing"])
 
 
-#: name: (function, arguments); an argument is a name, with + for a repeatable option and - for one with a default.
+#: name: (function, arguments); an argument is a name, with + for a repeatable option (* if it may be missing); a pair is an option with its default.
 COMMANDS: dict[str, tuple[Callable, list]] = {
     "validate": (validate, ["kind", "path"]),
     "audit-corpus": (audit_corpus, ["+split", ("audio-field", "audio"), ("text-field", "text"), ("group-field", None), ("audio-path-group-regex", None)]),
     "probe-audio": (probe_audio, ["wav"]),
     "compare-audio": (_difference(level_probe), ["reference", "candidate"]),
     "probe-prosody": (probe_prosody, ["wav"]),
-    "compare-prosody": (_difference(prosody_probe), ["reference", "candidate"]),
+    "compare-prosody": (compare_prosody, ["reference", "candidate"]),
+    "score-objective": (score_objective, ["observations", ("generation-plan", None), ("seed", objective.SEED)]),
+    "fingerprint-observations": (fingerprint_observations, ["observations"]),
+    "verify-observation-audio": (verify_audio_files, ["observations", ("audio-base-dir", ".")]),
+    "build-extractor-identity": (build_identity, [("kind", ""), ("name", ""), ("revision", ""), "+artifact"]),
+    "build-speaker-reference": (build_reference, [("reference-id", ""), ("audio", ""), ("transcript", "")]),
+    "build-speaker-reference-catalog": (build_catalog, [("catalog-id", ""), "+speaker-reference"]),
+    "build-audio-probe-results": (_probe("audio_probe"), ["observations", ("audio-base-dir", "."), ("extractor-revision", "")]),
+    "build-prosody-proxy-results": (_probe("prosody_proxy"), ["observations", ("audio-base-dir", "."), ("extractor-revision", "")]),
+    "apply-extractor-results": (apply_results, ["observations", "results", ("audio-base-dir", "."), "*extractor-artifact"]),
+    "build-content-faithfulness-report": (content_report, ["observations", ("generation-plan", ""), ("reference-catalog", ""), ("speaker-reference-plan", ""), "+speaker-reference", ("ngram-size", 4), ("instruction-ngram-size", 2)]),
+    "build-listening-assignment-plan": (build_assignment, ["generation_plan", ("routing", "")]),
+    "build-listening-pack": (build_pack, [("samples", ""), ("assignment-plan", ""), ("rater-ids", None), ("seed", 0)]),
+    "export-rater-listening-packet": (export_packet, ["review", ("rater-id", "")]),
+    "build-rater-listening-submission": (build_submission, ["packet", "ratings", ("allow-incomplete", None)]),
+    "compare-matched-prosody": (compare_matched_prosody, ["observations", "plan", "baseline", "adapted"]),
+    "audit-historical-prosody": (audit_history, ["manifest", ("audio-base-dir", ".")]),
     "validate-observations": (validate_observations, ["observations"]),
     "validate-prompt-pack": (validate_prompt_pack, ["pack"]),
     "build-generation-plan": (build_generation_plan, ["pack", "+candidate"]),
@@ -153,8 +314,8 @@ COMMANDS: dict[str, tuple[Callable, list]] = {
     "build-dataset-lineage": (build_lineage, [("id", ""), ("revision", ""), "+input", "+output-artifact"]),
     "verify-dataset-lineage": (verify_lineage, ["receipt", "+input", "+output-artifact"]),
     "compare-resume-artifacts": (compare_resume, ["+uninterrupted", "+resumed"]),
-    "build-runtime-artifact-manifest": (build_runtime, [("id", ""), ("revision", ""), ("relation", "exact"), "+source", "+runtime"]),
-    "verify-runtime-artifact-manifest": (verify_runtime, ["manifest", "+source", "+runtime"]),
+    "build-runtime-artifact-manifest": (build_runtime, ["binding_plan"]),
+    "verify-runtime-artifact-manifest": (verify_runtime, ["manifest", "binding_plan"]),
     "aggregate-listening": (aggregate_listening, ["ratings", "reveal", "expected"]),
 }
 
@@ -168,8 +329,8 @@ def parser() -> argparse.ArgumentParser:
         for x in arguments:
             if isinstance(x, tuple):
                 c.add_argument(f"--{x[0]}", default=x[1])
-            elif x.startswith("+"):
-                c.add_argument(f"--{x[1:]}", action="append", required=True)
+            elif x[0] in "+*":
+                c.add_argument(f"--{x[1:]}", action="append", required=x[0] == "+")
             elif x == "kind":
                 c.add_argument(x, choices=sorted(SHAPES))
             else:

@@ -40,6 +40,6 @@ def mean_abs_difference(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v) / F.size(a)
 
 
-def fingerprint_distance(energy_a: Column, energy_b: Column, zcr_a: Column, zcr_b: Column) -> Column:
-    """Weighted mean absolute difference of energy (0.6) and zero-crossing (0.4) bins."""
-    return F.lit(0.6) * mean_abs_difference(energy_a, energy_b) + F.lit(0.4) * mean_abs_difference(zcr_a, zcr_b)
+def fingerprint_distance(energy_a: Column, energy_b: Column, zcr_a: Column, zcr_b: Column, levels: float = 1.0) -> Column:
+    """Weighted mean absolute difference of energy (0.6) and zero-crossing (0.4) bins, whose largest value is ``levels``."""
+    return F.lit(0.6) * (mean_abs_difference(energy_a, energy_b) / levels) + F.lit(0.4) * (mean_abs_difference(zcr_a, zcr_b) / levels)

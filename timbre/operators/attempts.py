@@ -14,7 +14,7 @@ from .rules import Rule, failures
 
 #: Columns that are derived after generation and do not identify an attempt.
 DERIVED = (
-    "evidence", "hypothesis_text", "speaker_embedding", "reference_speaker_embedding", "reference_speaker_embeddings", "silence_fraction", "clipping_fraction", "sample_rate_hz",
+    "augmentation_history", "clipping_fraction", "evidence", "extractor_failures", "hypothesis_text", "reference_speaker_embedding", "reference_speaker_embeddings", "sample_rate_hz", "silence_fraction", "speaker_embedding",
 )
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def first_seen(rows: DataFrame, key: str, order: list[str], carry: list[str]) -> DataFrame:
     """Each row with the first row of its key, as first_<column>.
 
-    The first row is a minimum (combined before the shuffle) joined back, so a very common key costs no task its rows.
+    The first row is a minimum, combined before the shuffle, and joined back: the rows of a very common key meet one row,
+    so adaptive execution may split them over tasks.
     """
     head = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order, *carry)).alias("first"), F.count("*").alias("group_rows"))
     return rows.join(head, key).select(*rows.columns, "group_rows", *(F.col(f"first.{c}").alias(f"first_{c}") for c in dict.fromkeys([*order, *carry])))
@@ -49,20 +50,27 @@ def audit_stages(rows: DataFrame) -> DataFrame:
 
 
 def blocking_candidates(prints: DataFrame, least_shared: int = 3) -> DataFrame:
-    """(left_id, right_id, shared) of fingerprints in different splits that share bands.
+    """(left_id, right_id, shared) of fingerprints in different splits that share ``least_shared`` bands or more.
 
-    ``prints(id, split, bands array<string>)``.  Candidates are what the blocking is for: they are counted by
-    (left, right) and never leave the join as anything wider.
+    ``prints(id, split, bands array<string>)`` with the same number of bands each.  The join is on combinations of
+    ``least_shared`` bands, so a band that very many fingerprints have pairs none of them by itself; a pair
+    comes once, at the first combination that it shares.
     """
-    bands = prints.select("id", "split", F.posexplode("bands").alias("band", "hash"))
-    l, r = bands.alias("l"), bands.alias("r")
-    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.hash") == F.col("r.hash")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.split") != F.col("r.split"))
-    both = l.join(r, same).groupBy(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")).agg(F.count("*").alias("shared"))
-    return both.where(F.col("shared") >= least_shared)
-
-
-def capped(rows: DataFrame, cap: int, *order: Column) -> DataFrame:
-    """The first ``cap`` rows in order, with the count of all and whether the cap was reached."""
+    numbered = prints.select("id", "split", "bands", F.transform("bands", lambda h, b: F.struct(b.alias("b"), h.alias("h"))).alias("at"))
+    chosen = numbered.withColumn("key", F.array().cast("array<struct<b:int,h:string>>"))
+    for _ in range(least_shared):  # extend each combination by a later band
+        rest = F.expr("filter(at, x -> x.b > coalesce(get(key, size(key) - 1).b, -1))")
+        chosen = chosen.withColumn("more", F.explode(rest)).withColumn("key", F.concat("key", F.array("more"))).drop("more")
+    chosen = chosen.select("id", "split", "bands", F.transform("key", lambda x: x["b"]).alias("places"), F.xxhash64("key").alias("key"))
+    left, right = (chosen.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "split", "bands", "places")), "key") for p in ("left", "right"))
+    both = left.join(right, "key").where((F.col("left_id") < F.col("right_id")) & (F.col("left_split") != F.col("right_split")) & (F.col("left_places") == F.col("right_places")))
+    same = F.expr("filter(sequence(0, size(left_bands) - 1), i -> left_bands[i] = right_bands[i])")
+    both = both.withColumn("same", same).where(F.slice("same", 1, least_shared) == F.col("left_places"))
+    return both.select("left_id", "right_id", F.size("same").cast("long").alias("shared"))
+
+
+def capped(rows: DataFrame, cap: int, *order: Column, beyond: bool = False) -> DataFrame:
+    """The first ``cap`` rows in order, with the count of all and whether the cap was reached (``beyond``: exceeded)."""
     total = rows.agg(F.count("*").alias("total"))
     first = rows.orderBy(*order).limit(cap)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).crossJoin(total).withColumn("reached", F.col("total") >= cap)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).crossJoin(total).withColumn("reached", F.col("total") > cap if beyond else F.col("total") >= cap)

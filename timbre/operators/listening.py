@@ -19,8 +19,8 @@ def blind_labels(samples: DataFrame, seed: int, keys: list[str], sample: str = "
 
 
 def blind_labels_exact(ids: list[str], seed: int) -> dict[str, str]:
-    """The same by CPython's own shuffle, for packs that must reproduce it; a pack is a short list."""
-    shuffled = sorted(ids)
+    """The same by CPython's own shuffle of the document's order, for packs that must reproduce it; a pack is a short list."""
+    shuffled = list(ids)
     random.Random(seed).shuffle(shuffled)
     return {x: f"sample-{i:04d}" for i, x in enumerate(shuffled, 1)}
 
@@ -34,26 +34,35 @@ def schedule(items: DataFrame, raters: DataFrame, seed: int) -> DataFrame:
 
     ``items(block, candidate_id, cand)`` with cand counting from 0 in a block of C
     candidates; ``raters(rater_id, rater)``.  A rater's blocks are ordered by
-    md5(seed, rater, block); in pass p the candidate is (p + rater + block's place) mod C.
+    md5(seed, rater, block); in pass p the candidate is (p + rater + the block's own index) mod C.
     """
     blocks = items.groupBy("block").agg(F.count("*").alias("c"))
+    # blocks are a configured list, as short as a listening pack
+    blocks = blocks.withColumn("index", F.row_number().over(Window.orderBy("block")) - 1)
     order = Window.partitionBy("rater_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "rater_id", F.col("block").cast("string"))), "block")
     # every rater hears every block: the product is the schedule itself
     placed = raters.crossJoin(blocks).withColumn("place", F.row_number().over(order) - 1)
-    turns = placed.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).withColumn("cand", F.pmod(F.col("p") + F.col("rater") + F.col("place"), F.col("c")).cast("int"))
+    turns = placed.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).withColumn("cand", F.pmod(F.col("p") + F.col("rater") + F.col("index"), F.col("c")).cast("int"))
     turns = turns.join(items, ["block", "cand"])
     number = F.row_number().over(Window.partitionBy("rater_id").orderBy("p", "place")) - 1
     return turns.select("rater_id", number.alias("position"), F.col("p").cast("int").alias("pass"), "block", "candidate_id")
 
 
-def schedule_exact(blocks: dict[str, list[str]], raters: list[str], seed: int) -> dict[str, list[str]]:
-    """Schedules by CPython's shuffle; raters sorted first, one generator for each."""
+def schedule_exact(blocks: dict[tuple[str, int], dict[str, str]], raters: list[str], seed: int) -> dict[str, list[str]]:
+    """Schedules by CPython's shuffle, for packs that must reproduce it: rater -> blind ids in order.
+
+    ``blocks`` maps (prompt, seed) to blind ids by candidate, the same candidates everywhere.  A block's index among
+    all sorted blocks, not its shuffled place, turns the candidates.
+    """
+    names = sorted({c for b in blocks.values() for c in b})
+    if len(names) < 2 or any(set(b) != set(names) for b in blocks.values()) or len(set(raters)) < len(raters) or not raters:
+        raise ValueError("a schedule needs two candidates, the same in every block, and raters named once")
+    index = {b: i for i, b in enumerate(sorted(blocks))}
     out = {}
     for r, rater in enumerate(sorted(raters)):
         order = sorted(blocks)
         random.Random(rater_seed(seed, rater)).shuffle(order)
-        width = max((len(v) for v in blocks.values()), default=0)
-        out[rater] = [blocks[b][(p + r + i) % len(blocks[b])] for p in range(width) for i, b in enumerate(order) if p < len(blocks[b])]
+        out[rater] = [blocks[b][names[(p + r + index[b]) % len(names)]] for p in range(len(names)) for b in order]
     return out
 
 

@@ -10,7 +10,7 @@ def generation_plan(candidates: DataFrame, prompts: DataFrame, seeds: DataFrame)
     """Candidates x prompts x seeds: a plan is this product by definition, and its parts are short lists."""
     plan = candidates.crossJoin(prompts).crossJoin(seeds)
     sample = F.concat_ws("--", "candidate_id", "prompt_id", F.concat(F.lit("seed-"), F.col("seed")))
-    return plan.withColumn("sample_id", sample).withColumn("expected_audio_path", F.concat(F.col("candidate_id"), F.lit("/"), sample, F.lit(".wav")))
+    return plan.withColumn("sample_id", sample).withColumn("expected_audio_path", F.concat(F.lit("audio/"), F.col("candidate_id"), F.lit("/"), F.col("prompt_id"), F.lit("/seed-"), F.col("seed"), F.lit(".wav")))
 
 
 def reconcile(plan: DataFrame, obs: DataFrame, fields: list[str]) -> DataFrame:
@@ -34,11 +34,11 @@ def reconcile(plan: DataFrame, obs: DataFrame, fields: list[str]) -> DataFrame:
 def route(plan: DataFrame, routes: DataFrame) -> DataFrame:
     """Plan rows with the criteria that listeners rate them by.
 
-    A route selects all samples, categories, prompts or samples.
+    A route selects all samples, categories (``wanted``), samples with lexical anchors (``anchored``), or either of these two.
     """
     r = routes.alias("r")
     match = F.expr(
-        "r.selector = 'all_samples' or (r.selector = 'categories' and array_contains(r.wanted, category))"
-        " or (r.selector = 'prompts' and array_contains(r.wanted, prompt_id)) or (r.selector = 'samples' and array_contains(r.wanted, sample_id))"
+        "r.selector = 'all_samples' or (r.selector in ('categories', 'categories_or_lexical_anchors') and array_contains(r.wanted, category))"
+        " or (r.selector in ('lexical_anchors', 'categories_or_lexical_anchors') and anchored)"
     )
     return plan.join(F.broadcast(r), match).select("sample_id", "candidate_id", "prompt_id", "criterion")

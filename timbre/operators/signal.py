@@ -21,25 +21,29 @@ def level_stats(samples: DataFrame, key: str = "signal") -> DataFrame:
 
 
 def frames(samples: DataFrame, size: int, hop: int, key: str = "signal") -> DataFrame:
-    """(signal, frame, rms, zcr) of overlapping frames; an incomplete last frame is dropped."""
+    """(signal, frame, rms, zcr) of overlapping frames; zcr is crossings for each sample of the frame (times the rate: in Hz).  An incomplete last frame is dropped."""
     first = F.greatest(F.lit(0), F.floor((F.col("i") - size + hop) / hop)).cast("int")
     at = samples.withColumn("frame", F.explode(F.sequence(first, F.floor(F.col("i") / hop).cast("int"))))
     before = F.lag("x").over(Window.partitionBy(key, "frame").orderBy("i"))
     crossing = ((before < 0) != (F.col("x") < 0)).cast("int")
     at = at.withColumn("crossing", F.coalesce(crossing, F.lit(0)))
-    out = at.groupBy(key, "frame").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), (F.sum("crossing") / (size - 1)).alias("zcr"))
+    out = at.groupBy(key, "frame").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), (F.sum("crossing") / size).alias("zcr"))
     return out.where(F.col("n") == size).drop("n")
 
 
-def activity(framed: DataFrame, fraction: float = 0.1, key: str = "signal") -> DataFrame:
-    """Adds ``active``: rms above the larger of twice the noise floor and ``fraction`` of the peak.
+#: The lowest threshold of activity (-50 dBFS), multiples of the noise floor, parts of the loudest frame.
+LEAST_ACTIVE, FLOOR_TIMES, FLOOR_MOST, PEAK_PART, FLOOR_PLACE = 10 ** (-50 / 20), 3.0, 0.5, 0.04, 0.2
+
+
+def activity(framed: DataFrame, key: str = "signal") -> DataFrame:
+    """Adds ``active``: rms above the largest of -50 dBFS, the noise floor's multiple (at most half the peak) and a part of the peak.
 
     The floor is the frame a fifth of the way up the sorted levels, by index.
     """
     bounds = framed.groupBy(key).agg(F.array_sort(F.collect_list("rms")).alias("levels"), F.max("rms").alias("top"))
-    at = F.least(F.size("levels") - 1, F.floor(F.size("levels") * 0.2).cast("int"))
-    bounds = bounds.select(key, F.greatest(F.get("levels", at) * 2, F.col("top") * fraction).alias("threshold"))
-    return framed.join(bounds, key).withColumn("active", F.col("rms") > F.col("threshold")).drop("threshold")
+    at = F.least(F.size("levels") - 1, F.floor(F.size("levels") * FLOOR_PLACE).cast("int"))
+    threshold = F.greatest(F.lit(LEAST_ACTIVE), F.least(F.get("levels", at) * FLOOR_TIMES, F.col("top") * FLOOR_MOST), F.col("top") * PEAK_PART)
+    return framed.join(bounds.select(key, threshold.alias("threshold")), key).withColumn("active", F.col("rms") > F.col("threshold")).drop("threshold")
 
 
 def runs(framed: DataFrame, key: str = "signal") -> DataFrame:
@@ -57,6 +61,15 @@ def pauses(framed: DataFrame, least: int, key: str = "signal") -> DataFrame:
     return runs(framed, key).where(~F.col("active")).join(ends, key).where((F.col("first") > F.col("from")) & (F.col("last") < F.col("to")) & (F.col("length") >= least)).drop("from", "to", "active")
 
 
+def phrases(framed: DataFrame, least: int, key: str = "signal") -> DataFrame:
+    """(signal, phrase, first, last, length): stretches from the first active frame to the last, split by pauses only; shorter gaps belong to them."""
+    ends = framed.where("active").groupBy(key).agg(F.min("frame").alias("from"), F.max("frame").alias("to"))
+    broken = pauses(framed, least, key).select(key, F.explode(F.sequence("first", "last")).alias("frame"), F.lit(True).alias("pause"))
+    inside = framed.join(ends, key).where(F.col("frame").between(F.col("from"), F.col("to"))).join(broken, [key, "frame"], "left")
+    spoken = inside.select(key, "frame", F.col("pause").isNull().alias("active"))
+    return runs(spoken, key).where("active").select(key, F.col("island").alias("phrase"), "first", "last", "length")
+
+
 def windows(samples: DataFrame, size: int, key: str = "signal") -> DataFrame:
     """(signal, window, level): rms of tumbling windows; a last part of half a window or more counts."""
     out = samples.groupBy(key, F.floor(F.col("i") / size).cast("int").alias("window")).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("level"))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.audio_files import probe_observations
-from ..sources.wav import prosody_probe
+from ..sources.wav import OBSERVED, prosody_observation
 from .checks import ContractViolation, require_empty
 
 MAX_ROWS = 10_000
 #: Fields that must be there, even if null.
 EXPLICIT = ("seed", "prompt_id", "requested_text")
-PROBED = ["duration_seconds", "active_fraction", "pause_count", "pause_seconds", "level_std_db", "zcr_mean"]
+PROBED = [f"prosody_{name}" for name in OBSERVED]
 
 
 def check_manifest(manifest: DataFrame) -> None:
@@ -28,7 +28,7 @@ def check_manifest(manifest: DataFrame) -> None:
 def audit_prosody(spark: SparkSession, manifest: DataFrame, base: str) -> dict[str, DataFrame]:
     """Probe results and coverage of ``manifest(sample_id, audio_path, audio_sha256, seed, prompt_id, requested_text)``."""
     check_manifest(manifest)
-    results = probe_observations(spark, manifest.withColumn("valid", F.lit(True)), base, prosody_probe, PROBED)
+    results = probe_observations(spark, manifest.withColumn("valid", F.lit(True)), base, prosody_observation, PROBED)
     stated = [F.count_if(F.col(c).isNotNull()).alias(f"with_{c}") for c in EXPLICIT]
     coverage = manifest.agg(F.count("*").alias("rows"), *stated).crossJoin(results.agg(F.count_if(F.col("status") == "complete").alias("complete"), F.count_if(F.col("status") == "failed").alias("failed")))
     return {"results": results, "coverage": coverage}

@@ -6,11 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import match, score, stats
-from .checks import require_empty
-
-PROSODY = [
-    "prosody_active_fraction", "prosody_pause_count", "prosody_pause_seconds", "prosody_pause_mean", "prosody_pause_cv", "prosody_phrase_count", "prosody_phrase_mean", "prosody_phrase_cv", "prosody_level_std_db", "prosody_zcr_mean", "prosody_zcr_cv",
-]
+from .checks import ContractViolation, require_empty
+from .extraction import PROSODY
 
 
 def bind_to_plan(obs: DataFrame, plan: DataFrame, candidates: list[str]) -> DataFrame:
@@ -42,7 +39,7 @@ def compare_matched(obs: DataFrame, plan: DataFrame, baseline: str, adapted: str
     bound = bind_to_plan(obs, plan, [baseline, adapted])
     require_empty(match.key_difference(bound, baseline, adapted), "pairs that one side lacks")
     if "evidence" in bound.columns:
-        for kind in ("asr", "speaker_similarity"):
+        for kind in ("asr", "speaker_encoder", "audio_probe", "runtime"):
             one_signature(bound, kind)
     long = score.long_form(score.real_time_factor(bound), metrics)
     delta = match.deltas(long, baseline, adapted, ["category"])
@@ -62,6 +59,8 @@ def intervals(deltas: DataFrame, keys: list[str], seed: int = 0, draws: int = st
 def compare_prosody(obs: DataFrame, plan: DataFrame, baseline: str, adapted: str, fields: list[str] | None = None) -> dict[str, DataFrame]:
     """Deltas of waveform proxies by pair, with a status for each, and their summary without any direction."""
     fields = fields or [f for f in PROSODY if f in obs.columns]
+    if not fields:
+        raise ContractViolation("the observations hold no prosody fields")
     bound = bind_to_plan(obs, plan, [baseline, adapted])
     require_empty(match.key_difference(bound, baseline, adapted), "pairs that one side lacks")
     pair = match.pairs(bound, baseline, adapted, ["valid", *fields])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import canonical_sha256
 from ..operators.rules import MUTABLE
 from .checks import ContractViolation
-from .lineage import FIELDS, artifact_records, declarations
+from .lineage import declarations, git_revision, held_records, identifier
 
 RELATIONS = ("exact", "derived")
 
@@ -20,27 +20,44 @@ def pinned(revision: str) -> bool:
     return revision.strip().lower() not in ("", *MUTABLE) and re.search(r"\s", revision) is None
 
 
-def set_digest(records: list[dict]) -> str:
-    """Digest of a set of artifacts, in order of role."""
-    return canonical_sha256([{k: r[k] for k in ("role", *FIELDS)} for r in sorted(records, key=lambda r: r["role"])])
-
-
-def build_manifest(spark: SparkSession, runtime_id: str, revision: str, source: list[str], runtime: list[str], relation: str) -> dict:
-    """Manifest of both sets, with the relation proved where it is exact: the same roles with the same bytes."""
-    if relation not in RELATIONS or not pinned(revision):
-        raise ContractViolation("the relation must be exact or derived, and the revision fixed")
-    sets = {name: [r.asDict() for r in artifact_records(spark, declarations(texts)).orderBy("role").collect()] for name, texts in (("source", source), ("runtime", runtime))}
-    digests = {f"{k}_set_sha256": set_digest(v) for k, v in sets.items()}
-    if relation == "exact" and digests["source_set_sha256"] != digests["runtime_set_sha256"]:
-        raise ContractViolation("the runtime's artifacts are not the source's")
-    body = {"schema_version": "1.0.0", "runtime_id": runtime_id, "revision": revision, "relation": relation, **sets, **digests}
-    return body | {"manifest_sha256": canonical_sha256(body)}
+def build_manifest(spark: SparkSession, artifact_set_id: str, repository: str, revision: str, source: list[str], bindings: list[dict]) -> dict:
+    """Manifest of one source set and the artifacts of two or more runtimes.
+
+    A binding names ``runtime_id``, ``relation``, its ``artifacts`` (``ROLE=file|tree=PATH``) and, where derived, the ``conversion`` (tool and
+    pinned revision).  An exact relation is proved: the same roles with the same bytes.
+    """
+    names = [identifier(b.get("runtime_id"), "a runtime id") for b in bindings]
+    if len(names) < 2 or len(set(names)) < len(names):
+        raise ContractViolation("a manifest binds two or more runtimes, each once")
+    origin = held_records(spark, declarations(source))
+    digest, out = canonical_sha256(origin), []
+    for b in bindings:
+        if b.get("relation") not in RELATIONS:
+            raise ContractViolation("a relation is exact or derived")
+        held = held_records(spark, declarations(b["artifacts"]))
+        bound = {"runtime_id": b["runtime_id"], "relation": b["relation"], "artifact_set_sha256": canonical_sha256(held), "artifacts": held}
+        if b["relation"] == "exact":
+            if held != origin:
+                raise ContractViolation(f"the artifacts of {b['runtime_id']} are not the source's")
+        else:
+            c = b.get("conversion") or {}
+            if not str(c.get("tool") or "").strip() or not pinned(str(c.get("revision") or "")):
+                raise ContractViolation(f"the derived runtime {b['runtime_id']} needs a conversion tool and its pinned revision")
+            bound |= {"derived_from_sha256": digest, "conversion": {"tool": c["tool"].strip(), "revision": c["revision"].strip()}}
+        out.append(bound)
+    body = {"schema_version": "1.0.0", "artifact_set_id": identifier(artifact_set_id, "the set's id"), "producer": {"repository": repository.strip(), "revision": git_revision(revision)}}
+    return body | {"source_artifact_set_sha256": digest, "source_artifacts": origin, "runtime_bindings": out}
+
+
+def verify_manifest(spark: SparkSession, manifest: dict, source: list[str], bindings: list[dict]) -> bool:
+    """Whether building the manifest again from the current files gives the same."""
+    producer = manifest.get("producer", {})
+    return build_manifest(spark, manifest.get("artifact_set_id"), producer.get("repository", ""), producer.get("revision"), source, bindings) == manifest
 
 
-def verify_manifest(spark: SparkSession, manifest: dict, source: list[str], runtime: list[str]) -> bool:
-    """Whether building the manifest again from the current files gives the same."""
-    again = build_manifest(spark, manifest["runtime_id"], manifest["revision"], source, runtime, manifest["relation"])
-    return again == manifest
+def bindings_frame(spark: SparkSession, manifest: dict) -> DataFrame:
+    """(runtime_id, relation, runtime_set_sha256) of a manifest's few runtimes."""
+    return spark.createDataFrame([(b["runtime_id"], b["relation"], b["artifact_set_sha256"]) for b in manifest["runtime_bindings"]], "runtime_id string, relation string, runtime_set_sha256 string")
 
 
 def exact_runtimes(manifests: DataFrame, obs: DataFrame) -> DataFrame:

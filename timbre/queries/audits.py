@@ -33,8 +33,8 @@ def content_hash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a (source, language) group first seen in another split."""
-    d = _doc_rows(spark, sf_dir).withColumn("group", F.concat_ws("/", "source", "lang"))
+    """Rows of a group of twenty documents first seen in another split; the groups cut across splits."""
+    d = _doc_rows(spark, sf_dir).withColumn("group", F.concat(F.lit("g"), (F.col("doc_id") / 20).cast("long").cast("string")))
     return corpus.leakage(d, "group", ["doc_id"]).select("doc_id", "group", "split", "first_doc_id", "first_split")
 
 
@@ -116,7 +116,7 @@ def frame_rms_zcr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.activity(signal.frames(signal_view(spark, sf_dir), FRAME, HOP).withColumn("rms", F.round("rms", 6)), 0.5)
+    return signal.activity(signal.frames(signal_view(spark, sf_dir), FRAME, HOP).withColumn("rms", F.round("rms", 6)))
 
 
 def pause_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +124,8 @@ def pause_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variation of the lengths of active runs."""
-    runs = signal.runs(_active(spark, sf_dir)).where("active")
-    return rounded(runs.groupBy("signal").agg(*signal.spread("length")), "mean", "std", "cv")
+    """Variation of the lengths of phrases."""
+    return rounded(signal.phrases(_active(spark, sf_dir), PAUSE).groupBy("signal").agg(*signal.spread("length")), "mean", "std", "cv")
 
 
 def window_level_std(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,12 +147,12 @@ def resample_64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- listening -------------------------------------------------------------------------------
 
-ROUTES = [("naturalness", "all_samples", []), ("accent", "categories", ["g1", "g3"]), ("names", "prompts", ["nation_3", "nation_7"]), ("stress", "samples", ["asia--nation_2--seed-1"])]
+ROUTES = [("naturalness", "all_samples", []), ("accent", "categories", ["g1", "g3"]), ("names", "lexical_anchors", []), ("stress", "categories_or_lexical_anchors", ["g2"])]
 
 
 def listening_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = spark.createDataFrame(ROUTES, "criterion string, selector string, wanted array<string>")
-    return plan.route(_plan(spark, sf_dir), routes)
+    return plan.route(_plan(spark, sf_dir).withColumn("anchored", F.col("prompt_id").endswith("ia")), routes)
 
 
 def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,26 +231,26 @@ _BANDS = "bands as (select vec_id, 's' || (vec_id % 3) split, b, 'e' || cast(rou
 _CANDS = f"with {_BANDS}, cands as (select l.vec_id left_id, r.vec_id right_id, count(*) shared from bands l join bands r on l.b = r.b and l.h = r.h and l.vec_id < r.vec_id and l.split <> r.split group by all having count(*) >= 3)"
 _FRAMES = f"""with {SIGNAL_SQL}, f as (select signal, unnest(range(greatest(0, (i - {FRAME} + {HOP}) // {HOP}), i // {HOP} + 1)) frame, i, x from sig),
 c as (select *, coalesce((lag(x) over (partition by signal, frame order by i) < 0) <> (x < 0), false)::int crossing from f),
-frames as (select signal, cast(frame as int) frame, round(sqrt(avg(x * x)), 6) rms, round(sum(crossing) / {FRAME - 1}, 6) zcr from c group by signal, frame having count(*) = {FRAME})"""
+frames as (select signal, cast(frame as int) frame, round(sqrt(avg(x * x)), 6) rms, round(sum(crossing) / {FRAME}, 6) zcr from c group by signal, frame having count(*) = {FRAME})"""
 _ACTIVE = f"""{_FRAMES}, lv as (select signal, list_sort(list(rms)) v, max(rms) top from frames group by signal),
-act as (select f.signal, frame, rms > greatest(v[1 + least(len(v) - 1, cast(floor(len(v) * 0.2) as bigint))] * 2, top * 0.5) active from frames f join lv using (signal)),
+act as (select f.signal, frame, rms > greatest(power(10, -2.5), least(v[1 + least(len(v) - 1, cast(floor(len(v) * 0.2) as bigint))] * 3, top * 0.5), top * 0.04) active from frames f join lv using (signal)),
 ch as (select *, case when active is distinct from lag(active) over (partition by signal order by frame) and lag(active) over (partition by signal order by frame) is not null then 1 else 0 end ch from act),
 isl as (select *, sum(ch) over (partition by signal order by frame rows unbounded preceding) island from ch),
 runs as (select signal, island, active, min(frame) f1, max(frame) f2, count(*) length from isl group by all)"""
 _SPREAD = "count({0}) n, round(avg({0}), 6) mean, round(case when count({0}) >= 2 then stddev_pop({0}) end, 6) std, round(case when avg({0}) > 0 and count({0}) >= 2 then stddev_pop({0}) / avg({0}) end, 6) cv"
 _RATINGS = "ratings as (select l.doc_id, d.lang, r rater_id, cast(case r when 'quality' then quality else toxic end as double) score from labels l join documents d using (doc_id), (values ('quality'), ('toxic')) t(r) where (case r when 'quality' then quality else toxic end) is not null)"
 _SCHED = """with b as (select 'r' || s_suppkey rater_id, s_suppkey rater, n_nationkey block, row_number() over (partition by s_suppkey order by md5('11:r' || s_suppkey || ':' || n_nationkey), n_nationkey) - 1 place from supplier, nation),
-t as (select rater_id, p pass, block, place, (p + rater + place) % 5 cand from b, range(0, 5) x(p)),
+t as (select rater_id, p pass, block, place, (p + rater + (select count(*) from nation n where n.n_nationkey < block)) % 5 cand from b, range(0, 5) x(p)),
 sched as (select rater_id, cast(row_number() over (partition by rater_id order by pass, place) - 1 as int) "position", cast(pass as int) pass, block, lower(r_name) candidate_id from t join region on r_regionkey = cand)"""
 _LINES = "with l as (select 'role-' || p_partkey as role, sha256(p_name) s, p_size b from part where p_partkey % 7 > 0), r as (select 'role-' || p_partkey as role, sha256(p_name) s, p_size + case when p_partkey % 3 = 0 then 1 else 0 end b from part where p_partkey % 5 > 0), x as (select coalesce(l.role, r.role) as role, case when r.role is null then 'missing' when l.role is null then 'unexpected' when l.s = r.s and l.b = r.b then 'exact' else 'differs' end status from l full join r on l.role = r.role)"
 
 SQL = {
     "text_dup_cross_split": rf"with {DOCS_SQL}, k as (select doc_id, split, {KEY_SQL} key from docs where text is not null) select doc_id, split, first_doc_id, first_split from (select *, {_FIRST} from k window w as (partition by key order by doc_id)) where split <> first_split and doc_id <> first_doc_id",
     "content_hash_dups": "select doc_id, first_doc_id, group_rows from (select doc_id, min(doc_id) over w first_doc_id, count(*) over w group_rows from documents where text is not null window w as (partition by text)) where doc_id > first_doc_id",
-    "group_leakage": f"with {DOCS_SQL} select doc_id, \"group\", split, first_doc_id, first_split from (select doc_id, source || '/' || lang as \"group\", split, {_FIRST} from docs window w as (partition by source || '/' || lang order by doc_id)) where split <> first_split",
+    "group_leakage": f"with {DOCS_SQL} select doc_id, \"group\", split, first_doc_id, first_split from (select doc_id, 'g' || (doc_id // 20) as \"group\", split, {_FIRST} from docs window w as (partition by doc_id // 20 order by doc_id)) where split <> first_split",
     "split_report": f"with {DOCS_SQL} select split, count(*) as rows, count(*) filter (length(trim(text)) > 0) valid_rows, count(distinct source) as groups from docs group by split",
     "url_group_regex_leak": "with p as (select page_id, regexp_extract(url, '://([^/?#]+)', 1) host, case when page_id % 5 = 4 then 'test' else 'train' end split from pages), f as (select *, first_value(page_id) over w first_page_id, first_value(split) over w first_split from p window w as (partition by host order by page_id)) select host, count(*) as rows, min(first_page_id) first_page_id, min(first_split) first_split from f where split <> first_split group by host",
-    "audit_stages": f"""with {DOCS_SQL}, r as (select split, doc_id, case when doc_id % 50 = 0 then '' else left(text, 1) end t, case when doc_id % 31 > 0 then source || '/' || (doc_id // 2) || '.wav' end p, sha256(text) s, case when doc_id % 37 > 0 then source || '/' || (doc_id // 10) end g from docs),
+    "audit_stages": f"""with {DOCS_SQL}, r as (select split, doc_id, case when doc_id % 50 = 0 then '' else text end t, case when doc_id % 31 > 0 then source || '/' || (doc_id // 2) || '.wav' end p, sha256(text) s, case when doc_id % 37 > 0 then source || '/' || (doc_id // 10) end g from docs),
 a as (select *, case when coalesce(trim(t), '') = '' then 'missing_text' when p is null then 'missing_audio_path' end r1 from r),
 b as (select *, case when r1 is not null then r1 when row_number() over (partition by r1 is null, p order by doc_id) > 1 then 'duplicate_path' end r2 from a),
 c as (select *, case when r2 is not null then r2 when row_number() over (partition by r2 is null, s order by doc_id) > 1 then 'duplicate_content' end r3 from b),
@@ -266,13 +265,18 @@ from cands join embeddings l on l.vec_id = left_id join embeddings r on r.vec_id
     "level_stats": f"with {SIGNAL_SQL} select signal, count(*) n, round(max(abs(x)), 6) peak, round(sqrt(avg(x * x)), 6) rms, round(avg(x), 6) dc, round(avg((abs(x) <= 0.01)::int), 6) silence, round(avg((abs(x) >= 0.999)::int), 6) clipping from sig group by signal",
     "frame_rms_zcr": f"{_FRAMES} select signal, frame, rms, zcr from frames",
     "pause_islands": f"{_ACTIVE}, e as (select signal, min(frame) a, max(frame) b from act where active group by signal) select signal, f1 as first, f2 as last, length from runs join e using (signal) where not active and f1 > a and f2 < b and length >= {PAUSE}",
-    "phrase_cv": f"{_ACTIVE} select signal, {_SPREAD.format('length')} from runs where active group by signal",
+    "phrase_cv": f"""{_ACTIVE}, e as (select signal, min(frame) a, max(frame) b from act where active group by signal),
+pz as (select signal, f1, f2 from runs join e using (signal) where not active and f1 > a and f2 < b and length >= {PAUSE}),
+pf as (select signal, unnest(range(f1, f2 + 1)) frame from pz),
+sp as (select act.signal, act.frame, frame - row_number() over (partition by act.signal order by frame) grp from act join e using (signal) where frame between a and b and (act.signal, act.frame) not in (select signal, frame from pf)),
+ph as (select signal, grp, count(*) length from sp group by all)
+select signal, {_SPREAD.format('length')} from ph group by signal""",
     "window_level_std": f"with {SIGNAL_SQL}, w as (select signal, i // 10 w, 20 * log10(greatest(sqrt(avg(x * x)), 1e-12)) db from sig group by all having count(*) * 2 >= 10) select signal, {_SPREAD.format('db')} from w group by signal",
     "envelope_bins": f"""with {SIGNAL_SQL}, s as (select *, sign(x) s, last_value(nullif(sign(x), 0) ignore nulls) over (partition by signal order by i rows between unbounded preceding and 1 preceding) b, count(*) over (partition by signal) n from sig)
 select signal, cast(i * {BINS} // n as int) bin, round(sqrt(avg(x * x)), 6) energy, round(avg(case when s <> 0 and b is not null and s <> b then 1 else 0 end), 6) zcr from s group by all""",
     "resample_64": """with r as (select vec_id, list_transform(range(0, 64), lambda i: embedding[cast(floor(i * 31 / 63) as bigint) + 1]::double + (embedding[least(cast(floor(i * 31 / 63) as bigint) + 1, 31) + 1]::double - embedding[cast(floor(i * 31 / 63) as bigint) + 1]::double) * (i * 31 / 63 - floor(i * 31 / 63))) r from embeddings)
 select vec_id, round(r[1], 5) head, round(r[32], 5) middle, round(r[64], 5) tail, round(list_sum(r), 5) total from r""",
-    "listening_routing": f"with {PLAN_SQL} select sample_id, candidate_id, prompt_id, criterion from plan join (values ('naturalness', 'true'), ('accent', 'c'), ('names', 'p'), ('stress', 's')) t(criterion, kind) on kind = 'true' or (kind = 'c' and category in ('g1', 'g3')) or (kind = 'p' and prompt_id in ('nation_3', 'nation_7')) or (kind = 's' and sample_id = 'asia--nation_2--seed-1')",
+    "listening_routing": f"with {PLAN_SQL} select sample_id, candidate_id, prompt_id, criterion from plan join (values ('naturalness', 'true'), ('accent', 'c'), ('names', 'a'), ('stress', 'ca')) t(criterion, kind) on kind = 'true' or (kind = 'c' and category in ('g1', 'g3')) or (kind in ('a', 'ca') and prompt_id like '%ia') or (kind = 'ca' and category = 'g2')",
     "missing_ratings": "select doc_id, r rater_id from documents, (values ('quality'), ('toxic')) t(r) where doc_id not in (select doc_id from labels)",
     "listening_aggregate": f"with {_RATINGS} select lang, rater_id, count(score) n, round(avg(score), 6) mean, round(median(score), 6) median, min(score) low, max(score) high from ratings group by all",
     "krippendorff_alpha": f"with {_RATINGS}, i as (select lang, doc_id, count(*) n, var_samp(score) v from ratings group by all), a as (select lang, var_samp(score) e from ratings group by lang) select lang, round(1 - (sum(n * v) filter (n >= 2) / sum(n) filter (n >= 2)) / any_value(e), 6) alpha from i join a using (lang) group by lang",

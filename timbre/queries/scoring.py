@@ -48,7 +48,7 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLAN_SQL = """plan as (select lower(r_name) candidate_id, lower(n_name) prompt_id, 'g' || n_regionkey category, cast(s as varchar) seed, lower(r_name) || '--' || lower(n_name) || '--seed-' || s sample_id,
-  lower(r_name) || '/' || lower(r_name) || '--' || lower(n_name) || '--seed-' || s || '.wav' expected_audio_path from region, nation, range(1, 4) t(s))"""
+  'audio/' || lower(r_name) || '/' || lower(n_name) || '/seed-' || s || '.wav' expected_audio_path from region, nation, range(1, 4) t(s))"""
 
 
 def generation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ QUERIES = {f.__name__: f for f in (
 _SUMMARY = "count(value) n, round(avg(value), 6) mean, round(median(value), 6) median, round(min(value), 6) low, round(max(value), 6) high"
 _DELTAS = f"""with {LONG_SQL}, d as (select b.prompt_id, b.seed, b.metric, b.category, b.value b_value, a.value a_value, a.value - b.value delta
   from long b join long a on a.prompt_id = b.prompt_id and a.seed = b.seed and a.metric = b.metric where b.candidate_id = '{BASE}' and a.candidate_id = '{ADAPTED}' and a.value is not null and b.value is not null)"""
-_SIGN = "case metric when 'audio_duration_seconds' then 1 else -1 end"
+_SIGN = "case metric when 'audio_duration_seconds' then null else -1 end"
 _DELTA_SUMMARY = f"count(delta) n, round(avg(delta), 6) mean, round(median(delta), 6) median, round(avg(delta) * {_SIGN}, 6) improvement"
 
 SQL = {
@@ -188,9 +188,11 @@ SQL = {
     "pair_symmetric_difference": f"with {OBS_SQL}, b as (select prompt_id, seed from obs where candidate_id = '{BASE}'), a as (select prompt_id, seed from obs where candidate_id = '{ADAPTED}') select *, '{ADAPTED}' missing from (select * from b except select * from a) union all select *, '{BASE}' from (select * from a except select * from b)",
     "metrics_in_common": f"with {LONG_SQL} select category, metric from long where value is not null and candidate_id = '{BASE}' intersect select category, metric from long where value is not null and candidate_id = '{ADAPTED}'",
     "matched_anchor_delta": f"with {OBS_SQL}, p as (select b.category, (b.k >= 50)::int bh, (a.k >= 50)::int ah from obs b join obs a using (prompt_id, seed) where b.candidate_id = '{BASE}' and a.candidate_id = '{ADAPTED}' and b.valid and a.valid) select category, count(*) pairs, round(avg(bh), 6) b_rate, round(avg(ah), 6) a_rate, round(avg(ah) - avg(bh), 6) delta from p group by rollup (category)",
-    "bootstrap_hash": f"""{_DELTAS}, v as (select metric, delta, row_number() over (partition by metric order by prompt_id || ':' || lpad(seed::varchar, 4, '0')) - 1 rank_ from d),
-s as (select metric, count(*) n from v group by metric), i as (select metric, n, i, unnest(range(0, n)) j from s, range(0, {DRAWS}) t(i)),
-p as (select metric, n, i, (('0x' || substr(md5('0:' || i || ':' || j), 1, 8))::bigint) % n rank_ from i), m as (select metric, n, i, avg(delta) m from p join v using (metric, rank_) group by all)
+    "bootstrap_hash": f"""{_DELTAS}, v as (select metric, delta, prompt_id || ':' || lpad(seed::varchar, 4, '0') place from d),
+h as (select metric, delta, b, md5('0:' || b || ':' || place) h from v, range(0, {DRAWS} // 4) t(b)),
+p as (select metric, delta, b * 4 + q draw, ('0x' || substr(h, cast(q * 8 + 1 as int), 8))::bigint / 4294967296.0::double u from h, range(0, 4) t(q)),
+w as (select metric, delta, draw, {' + '.join(f'(u >= {x!r}::double)::int' for x in stats.POISSON)} w from p),
+m as (select metric, draw, count(*) n, sum(w * delta) / nullif(sum(w), 0) m from w group by all)
 select metric, n, round(quantile_cont(m, 0.025), 4) low, round(quantile_cont(m, 0.975), 4) high from m group by metric, n""",
     "observation_rule_errors": f"""with {OBS_SQL}, r as (select sample_id, unnest([
   case when k % 11 = 0 then 'candidate_id_identifier' end, case when k % 13 = 0 then 'requested_text_required' end, case when k % 17 = 0 then 'seed_nonnegative' end, case when k % 7 = 0 then 'generation_seconds_range' end,

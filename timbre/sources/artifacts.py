@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+@F.pandas_udf(StringType())
+def ascii_json(text: pd.Series) -> pd.Series:
+    """A string as JSON with ASCII escapes."""
+    return text.map(lambda t: None if t is None else json.dumps(t))
+
+
+def refuse_links(path: str, kind: str) -> None:
+    """Refuse local links; paths with a scheme of another store have none."""
+    if "://" in path:
+        return
+    here = Path(path)
+    if here.is_symlink() or (kind == "file" and not here.is_file()) or (kind == "tree" and not here.is_dir()):
+        raise ValueError(f"no plain {kind}: {path}")
+    if kind == "tree" and any(p.is_symlink() for p in here.rglob("*")):
+        raise ValueError(f"a tree with links: {path}")
 
 
 def file_records(spark: SparkSession, path: str) -> DataFrame:
@@ -13,15 +35,24 @@ def file_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, path: str, role: str, kind: str) -> DataFrame:
-    """One row (role, kind, sha256, bytes, file_count): a file's own digest, or that of the tree's sorted records."""
+    """One row (role, kind, sha256, bytes, file_count): a file's own digest, or that of the tree's sorted records.
+
+    A link, or a tree that holds one, is refused where the path is local; so is a tree without files.
+    """
+    refuse_links(path, kind)
     records = file_records(spark, path)
     if kind == "file":
         return records.select(F.lit(role).alias("role"), F.lit(kind).alias("kind"), "sha256", "bytes", F.lit(None).cast("long").alias("file_count"))
     if kind != "tree":
         raise ValueError(f"unknown artifact kind: {kind}")
+    if not records.limit(1).count():
+        raise ValueError(f"a tree without files: {path}")
     name = F.substring_index("path", path.rstrip("/") + "/", -1)
-    line = F.concat(F.lit('{"bytes":'), F.col("bytes").cast("string"), F.lit(',"path":"'), name, F.lit('","sha256":"'), F.col("sha256"), F.lit('"}\n'))
-    tree = records.agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("lines"), F.sum("bytes").alias("bytes"), F.count("*").alias("file_count"))
+    # json.dumps escapes all but ASCII; to_json writes the same for ASCII names, others go through Python
+    text = F.when(name.rlike(r"^[\x20-\x7E]*$"), F.regexp_extract(F.to_json(F.struct(name.alias("p"))), r'^\{"p":(.*)\}$', 1)).otherwise(ascii_json(name))
+    line = F.concat(F.lit('{"bytes":'), F.col("bytes").cast("string"), F.lit(',"path":'), text, F.lit(',"sha256":"'), F.col("sha256"), F.lit('"}\n'))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(name.alias("name"), line.alias("line")))), lambda x: x["line"])
+    tree = records.agg(F.array_join(ordered, "").alias("lines"), F.sum("bytes").alias("bytes"), F.count("*").alias("file_count"))
     return tree.select(F.lit(role).alias("role"), F.lit(kind).alias("kind"), F.sha2("lines", 256).alias("sha256"), "bytes", "file_count")
 
 

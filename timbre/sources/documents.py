@@ -23,6 +23,25 @@ OBSERVATION = T.StructType(
     + [T.StructField("reference_speaker_embeddings", T.ArrayType(T.StructType([T.StructField("reference_id", T.StringType()), T.StructField("embedding", EMBEDDING)])))]
     + [T.StructField(n, T.StringType()) for n in ("audio_path", "audio_sha256", "artifact_set_id", "artifact_set_sha256")]
 )
+#: What evidence of one kind may declare.
+EVIDENCE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in (
+        "extractor", "revision", "extractor_artifact_set_sha256", "input_audio_sha256", "extractor_execution_receipt_sha256", "reference_id", "reference_audio_sha256", "reference_transcript_sha256",
+        "reference_aggregation", "reference_catalog_sha256", "reference_set_sha256", "reference_assignment_plan_sha256", "reference_assignment_sha256", "speaker_measurement_sha256",
+        "generation_plan_sha256", "planned_sample_sha256", "source_generation_observation_sha256", "output_audio_sha256", "attempt_sha256",
+    )]
+    + [T.StructField("references", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("reference_id", "reference_audio_sha256", "reference_transcript_sha256")])))]
+)
+#: Observations with all that scoring and extraction read and write.
+FULL_OBSERVATION = T.StructType(
+    [*OBSERVATION.fields, T.StructField("evidence", T.MapType(T.StringType(), EVIDENCE))]
+    + [T.StructField("augmentation_history", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("status", T.StringType()), *EVIDENCE.fields])))]
+    + [T.StructField("extractor_failures", T.MapType(T.StringType(), T.StructType([*EVIDENCE.fields, T.StructField("error_type", T.StringType()), T.StructField("error", T.StringType())])))]
+    + [T.StructField(f"prosody_{n}", T.BooleanType() if n == "eligible_for_long_form" else T.DoubleType()) for n in (
+        "active_frame_fraction", "active_rms_db_std", "analysis_duration_seconds", "eligible_for_long_form", "leading_inactive_seconds", "pause_duration_cv", "pause_fraction", "pause_rate_per_minute",
+        "phrase_duration_cv", "trailing_inactive_seconds", "window_rms_db_std", "zero_crossing_rate_hz_std",
+    )]
+)
 
 
 def read_array(spark: SparkSession, path: str, field: str, schema: T.StructType) -> DataFrame:
@@ -62,11 +81,20 @@ def read_manifest(spark: SparkSession, path: str, max_line_bytes: int = MAX_LINE
 
 
 def manifest_rows(lines: DataFrame, audio: str = "audio", text: str = "text", group: str | None = None) -> DataFrame:
-    """Manifest lines parsed: audio may be a string or an object with a path."""
-    raw = F.get_json_object("text", f"$.{audio}")
-    path = F.coalesce(F.get_json_object("text", f"$.{audio}.path"), raw)
-    out = lines.withColumns({"audio_path": path, "transcript": F.get_json_object("text", f"$.{text}")})
-    return out.withColumn("group_id", F.get_json_object("text", f"$.{group}") if group else F.lit(None).cast("string"))
+    """Manifest lines parsed, blank ones left out: audio may be a string or an object with a path; values that are not strings count as absent.
+
+    Adds the errors invalid_json and not_an_object.
+    """
+    out = lines.where("error is not null or trim(text) != ''").withColumn("_v", F.try_parse_json("text"))
+
+    def string(path: str):
+        here = F.try_variant_get("_v", path, "variant")
+        return F.when(F.schema_of_variant(here) == "STRING", F.trim(F.try_variant_get("_v", path, "string")))
+
+    whole = F.schema_of_variant("_v").startswith("OBJECT")
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("_v").isNull(), "invalid_json").when(~whole, "not_an_object")
+    out = out.withColumns({"error": error, "audio_path": F.coalesce(string(f"$.{audio}"), string(f"$.{audio}.path")), "transcript": string(f"$.{text}")})
+    return out.withColumn("group_id", F.nullif(string(f"$.{group}"), F.lit("")) if group else F.lit(None).cast("string")).drop("_v")
 
 
 def write_once(df: DataFrame, path: str) -> None:
