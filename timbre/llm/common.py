@@ -126,15 +126,43 @@ def ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _joined(batches):
+    """Union-find over all edges of one task, labelled by the least node."""
+    parent: dict = {}
+
+    def find(x):
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("a").type
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    if kind is not None:
+        nodes = list(parent)
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([find(x) for x in part], kind)], names=["node", "comp"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(node, comp) for every node of ``edges(a, b)``; comp is the least node reachable.
 
-    Alternates large-star and small-star contractions.  Minimums are taken by
+    Edges that take at most ``limit`` bytes, after measuring, are joined in one task.  More of them alternate large-star and small-star contractions.  Minimums are taken by
     ordinary (partially aggregated) groupings and joined back; a hub's edges meet one row, so adaptive
     execution may split them over tasks.  Each round ends in a scratch table, and the one before is deleted.
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     cur = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if is_small(cur, limit):
+        kind = cur.schema["a"].dataType
+        return cur.coalesce(1).mapInArrow(_joined, T.StructType([T.StructField("node", kind), T.StructField("comp", kind)]))
 
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(20,0)"))).first()
