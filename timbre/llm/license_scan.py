@@ -229,7 +229,10 @@ def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(license_, pa.string()), pa.array(score, pa.float64()), pa.array(how, pa.string())], names=names)
 
     schema = schema_rest.add("path", "string").add("license", "string").add("score", "double").add("how", "string")
-    own = materialize(files.select(*(F.col(f"`{c}`") for c in rest), F.col("path").cast("string").alias("path"), F.col("text")).mapInArrow(match, schema))
+    own = files.select(*(F.col(f"`{c}`") for c in rest), F.col("path").cast("string").alias("path"), F.col("text")).mapInArrow(match, schema)
+    # the other columns travel as one, so that no name of theirs meets one of the joins'
+    row = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(True)
+    own = materialize(own.select(row.alias("row"), "path", "license", "score", "how"))
     own = own.withColumn("dir", F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1))
     speaks = own.where("how = 'file' and path is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("m")).select(F.col("dir").alias("l_dir"), F.col("m.license").alias("l_license"))
     # nearest ancestors are sought once for each directory, not for each file
@@ -244,7 +247,7 @@ def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None
     found = materialize(sizes.join(nearest, F.col("dir") == F.col("n_dir"), "left").select("dir", "files", "m"))
     out = join_groups(heirs, found, ["dir"], "files").drop("files").unionByName(own.where("license is not null or path is null").withColumn("m", F.lit(None).cast(found.schema["m"].dataType)))
     return out.select(
-        *(F.col(f"`{c}`") for c in rest), "path", F.coalesce("license", F.col("m.l_license")).alias("license"), "score",
+        *(F.col(f"row.`{c}`").alias(c) for c in rest), "path", F.coalesce("license", F.col("m.l_license")).alias("license"), "score",
         F.when(F.col("how").isNotNull(), F.col("how")).when(F.col("m").isNotNull(), F.lit("inherited")).alias("how"),
         F.col("m.l_dir").alias("from_dir"),
     )
