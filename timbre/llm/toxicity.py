@@ -142,12 +142,19 @@ def fit_chain(doc: np.ndarray, feature: np.ndarray, labels: dict[str, np.ndarray
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = TRAIN_ROWS) -> list[Linear]:
-    """Fit the chain on at most ``rows`` labelled documents; ``categories`` maps names to 0/1 expressions over ``labels``."""
+def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int) -> DataFrame:
+    """(doc_id, y_0.., text): at most ``rows`` labelled documents, those least by a hash of the id; of rows that repeat a doc_id one text, the least by its hash."""
     cols = [F.coalesce(e, F.lit(0)).cast("int").alias(f"y_{i}") for i, e in enumerate(categories.values())]
-    sample = labels.where(F.col("doc_id").isNotNull()).select("doc_id", *cols).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = labels.where(F.col("doc_id").isNotNull()).select("doc_id", *cols).orderBy(F.xxhash64("doc_id"), "doc_id", *(f"y_{i}" for i in range(len(cols)))).limit(rows)
     # at most ``rows`` short rows: a bounded broadcast, so the documents are only scanned
-    held = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return texts.join(F.broadcast(sample), "doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = TRAIN_ROWS) -> list[Linear]:
+    """Fit the chain on at most ``rows`` labelled documents; ``categories`` maps names to 0/1 expressions over ``labels``."""
+    held = labelled(docs, labels, categories, rows)
     names = [f"y_{i}" for i in range(len(categories))]
     schema = pa.schema([pa.field("doc_id", pa.int64()), *(pa.field(c, pa.int32()) for c in names), pa.field("features", pa.list_(pa.int64()))])
 
