@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions.identity import canonical_sha256
 from .operators import rules
 from .operators.contracts import SHAPES, breaches
-from .plans import content, corpus, extraction, history, lineage, listening, matched, objective, pack_documents, packs, runtime
+from .plans import content, corpus, extraction, history, lineage, listening, matched, objective, pack_documents, packs, receipts, runtime
 from .plans.checks import ContractViolation
 from .sources import documents
 from .sources.audio_files import verify_audio
@@ -120,6 +120,11 @@ def verify_lineage(spark, a):
 
 
 def compare_resume(spark, a):
+    paths = {n: {r: (Path(p), k) for r, k, p in lineage.declarations(t)} for n, t in (("uninterrupted", a.uninterrupted), ("resumed", a.resumed))}
+    receipts.independent(paths)
+    if a.report:
+        for held in paths.values():
+            receipts.refuse_output_alias(Path(a.report), held)
     rows = _rows(lineage.compare_runs(spark, a.uninterrupted, a.resumed))
     return {"roles": rows}, not all(r["byte_exact"] for r in rows)
 
@@ -186,6 +191,26 @@ def build_catalog(spark, a):
     return extraction.speaker_catalog(spark, a.catalog_id, _references(a.speaker_reference)), False
 
 
+def build_reference_plan(spark, a):
+    catalog = _load(a.reference_catalog)
+    extraction.check_catalog(catalog)
+    told = {}
+    for t in a.assignment:
+        prompt, seed, ids = t.split("=")
+        told[prompt, int(seed)] = ids.split(",")
+    return receipts.assignment_plan(a.plan_id, _load(a.generation_plan), catalog, told, a.policy_id, a.stratification_dimension, a.rationale), False
+
+
+def validate_execution(spark, a):
+    found = receipts.execution_breaches(_load(a.results))
+    return {"valid": not found, "errors": [{"path": p, "rule": r} for p, r in found]}, bool(found)
+
+
+def validate_run(spark, a):
+    found = receipts.run_breaches(_load(a.receipt), a.mode)
+    return {"valid": not found, "errors": [{"path": p, "rule": r} for p, r in found]}, bool(found)
+
+
 def _probe(kind: str):
     def run(spark, a):
         obs = _full(spark, a.observations)
@@ -295,6 +320,9 @@ COMMANDS: dict[str, tuple[Callable, list]] = {
     "build-extractor-identity": (build_identity, [("kind", ""), ("name", ""), ("revision", ""), "+artifact"]),
     "build-speaker-reference": (build_reference, [("reference-id", ""), ("audio", ""), ("transcript", "")]),
     "build-speaker-reference-catalog": (build_catalog, [("catalog-id", ""), "+speaker-reference"]),
+    "build-speaker-reference-assignment-plan": (build_reference_plan, [("plan-id", ""), ("generation-plan", ""), ("reference-catalog", ""), ("policy-id", ""), ("rationale", ""), "+stratification-dimension", "+assignment"]),
+    "validate-execution-receipt": (validate_execution, ["results"]),
+    "validate-resume-run-receipt": (validate_run, ["receipt", ("mode", "uninterrupted")]),
     "build-audio-probe-results": (_probe("audio_probe"), ["observations", ("audio-base-dir", "."), ("extractor-revision", "")]),
     "build-prosody-proxy-results": (_probe("prosody_proxy"), ["observations", ("audio-base-dir", "."), ("extractor-revision", "")]),
     "apply-extractor-results": (apply_results, ["observations", "results", ("audio-base-dir", "."), "*extractor-artifact"]),
