@@ -87,6 +87,17 @@ def test_components(spark, seed):
         assert got == {x: find(x) for x in parent}
 
 
+def test_hot_groups_are_joined_whole(spark, monkeypatch):
+    from timbre.llm import common
+
+    monkeypatch.setattr(common, "is_small", lambda *a: False)
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("key"))
+    groups = common.materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")))
+    got = common.join_groups(rows, groups, ["key"], "n")
+    assert got.columns == ["key", "id", "n", "least"] and got.count() == 6000
+    assert {(r["key"], r["n"], r["least"]) for r in got.distinct().collect()} == {(r["key"], r["n"], r["least"]) for r in groups.collect()}
+
+
 # --- 1 url filters ---------------------------------------------------------------------------
 
 

@@ -102,15 +102,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) ->
 
     ``groups`` is materialised and has a row for each combination of ``keys`` (none null) that is
     to be met, with its number of rows in column ``n``.  Small tables are broadcast.  Of others, groups of more than ``HOT_SHARE`` of all rows, of which there are
-    at most 1 / HOT_SHARE, are marked by a broadcast and their rows spread over salts; the others have the salt 0.
+    at most 1 / HOT_SHARE, are marked by a broadcast and their rows spread over salts, by a hash of the row, the same when a lost task
+    runs again; the others have the salt 0.
     """
     if is_small(groups):
         return rows.join(F.broadcast(groups), keys)
     total = groups.agg(F.sum(n)).first()[0] or 0
     salts = 64
     least = max(1000, int(total * HOT_SHARE))
+    own = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
     hot = F.broadcast(groups.where(F.col(n) > least).select(*keys, F.lit(True).alias("_hot")))
-    spread = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    spread = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*own), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
     last = F.when(F.col(n) > least, F.lit(salts - 1)).otherwise(F.lit(0)).cast("long")
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return spread.join(copies, [*keys, "_salt"]).drop("_salt")
