@@ -238,3 +238,16 @@ def test_trees(spark, tmp_path):
     for bad in (str(tree), str(tmp_path / "empty"), str(tmp_path / "none")):
         with pytest.raises(ValueError):
             artifacts.fingerprint(spark, bad, "r", "tree")
+
+
+def test_gates(spark):
+    from timbre.operators.rules import failures, gate_rules
+
+    rows = [
+        observation(sample_id="ok", observation_schema_version="1.0.0", runtime_id="cpu", audio_sha256=None), observation(sample_id="bare", seed=None, audio_sha256=None), observation(sample_id="bad", observation_schema_version="2", runtime_id="A B", artifact_set_id="x", artifact_set_sha256="no", prosody_pause_fraction=1.5, audio_sha256=None),
+    ]
+    obs = frame(spark, rows)
+    loose = {tuple(r) for r in failures(obs, gate_rules(obs.columns), "sample_id").collect()}
+    assert loose == {("bad", "observation_schema_version_stated"), ("bad", "runtime_id_stated"), ("bad", "artifact_set_sha256_stated"), ("bad", "prosody_pause_fraction_range")}
+    strict = {tuple(r) for r in failures(obs, gate_rules(obs.columns, True, True, True), "sample_id").collect()}
+    assert strict - loose == {("bare", "observation_schema_version_stated"), ("bare", "seed_stated"), ("bare", "runtime_id_stated")}

@@ -82,8 +82,9 @@ def _difference(probe: Callable[[bytes], dict]):
 
 
 def validate_observations(spark, a):
-    obs = _observations(spark, a.observations)
-    found = _rows(rules.failures(obs, rules.observation_rules(), "sample_id")) + [r | {"rule": "repeated"} for r in _rows(rules.repeats(obs, "sample_id"))]
+    obs = _full(spark, a.observations)
+    gates = rules.gate_rules(obs.columns, bool(a.require_version), bool(a.require_seed), bool(a.require_runtime))
+    found = _rows(rules.failures(obs, gates, "sample_id")) + [r | {"rule": "repeated"} for r in _rows(rules.repeats(obs, "sample_id"))]
     return {"valid": not found, "errors": found}, bool(found)
 
 
@@ -306,7 +307,7 @@ def aggregate_listening(spark, a):
     return report, bool(report["missing"])
 
 
-#: name: (function, arguments); an argument is a name, with + for a repeatable option (* if it may be missing); a pair is an option with its default.
+#: name: (function, arguments); an argument is a name, with + for a repeatable option (* if it may be missing) and ? for a switch; a pair is an option with its default.
 COMMANDS: dict[str, tuple[Callable, list]] = {
     "validate": (validate, ["kind", "path"]),
     "audit-corpus": (audit_corpus, ["+split", ("audio-field", "audio"), ("text-field", "text"), ("group-field", None), ("audio-path-group-regex", None)]),
@@ -330,10 +331,10 @@ COMMANDS: dict[str, tuple[Callable, list]] = {
     "build-listening-assignment-plan": (build_assignment, ["generation_plan", ("routing", "")]),
     "build-listening-pack": (build_pack, [("samples", ""), ("assignment-plan", ""), ("rater-ids", None), ("seed", 0)]),
     "export-rater-listening-packet": (export_packet, ["review", ("rater-id", "")]),
-    "build-rater-listening-submission": (build_submission, ["packet", "ratings", ("allow-incomplete", None)]),
+    "build-rater-listening-submission": (build_submission, ["packet", "ratings", "?allow-incomplete"]),
     "compare-matched-prosody": (compare_matched_prosody, ["observations", "plan", "baseline", "adapted"]),
     "audit-historical-prosody": (audit_history, ["manifest", ("audio-base-dir", ".")]),
-    "validate-observations": (validate_observations, ["observations"]),
+    "validate-observations": (validate_observations, ["observations", "?require-version", "?require-seed", "?require-runtime"]),
     "validate-prompt-pack": (validate_prompt_pack, ["pack"]),
     "build-generation-plan": (build_generation_plan, ["pack", "+candidate"]),
     "check-suite-coverage": (check_suite_coverage, ["plan", "observations"]),
@@ -357,6 +358,8 @@ def parser() -> argparse.ArgumentParser:
         for x in arguments:
             if isinstance(x, tuple):
                 c.add_argument(f"--{x[0]}", default=x[1])
+            elif x[0] == "?":
+                c.add_argument(f"--{x[1:]}", action="store_true")
             elif x[0] in "+*":
                 c.add_argument(f"--{x[1:]}", action="append", required=x[0] == "+")
             elif x == "kind":

@@ -81,3 +81,27 @@ def observation_rules() -> list[Rule]:
         Rule("seed_nonnegative", F.col("seed").isNull() | (F.col("seed") >= 0)), Rule.number("generation_seconds", 0), Rule.number("audio_duration_seconds", 0), Rule.number("peak_memory_bytes", 0),
         Rule.number("silence_fraction", 0, 1), Rule.number("clipping_fraction", 0, 1), Rule.sha256("audio_sha256"), Rule.together("artifact_set_id", "artifact_set_sha256"),
     ]
+
+
+def gate_rules(columns: list[str], version: bool = False, seed: bool = False, runtime: bool = False) -> list[Rule]:
+    """Observation rules with what a content-bound report asks for beside them: version, seed and runtime stated, artifact and prosody fields in form.
+
+    Rules of columns that ``columns`` does not name are left out, unless a field is asked for.
+    """
+    out = observation_rules()
+
+    def stated(field: str, ok: Column, needed: bool) -> None:
+        if field in columns:
+            out.append(Rule(f"{field}_stated", F.coalesce(ok, F.lit(False)) if needed else F.col(field).isNull() | ok))
+        elif needed:
+            out.append(Rule(f"{field}_stated", F.lit(False)))
+
+    stated("observation_schema_version", F.col("observation_schema_version") == "1.0.0", version)
+    stated("seed", F.col("seed") >= 0, seed)
+    stated("runtime_id", F.col("runtime_id").rlike(IDENTIFIER), runtime)
+    stated("artifact_set_id", F.col("artifact_set_id").rlike(IDENTIFIER), False)
+    stated("artifact_set_sha256", F.col("artifact_set_sha256").rlike(SHA256), False)
+    for field in columns:
+        if field.startswith("prosody_") and field != "prosody_eligible_for_long_form":
+            out.append(Rule.number(field, 0, 1 if field in ("prosody_active_frame_fraction", "prosody_pause_fraction") else None))
+    return out

@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.identity import digest_strings
 from ..operators import corpus, lineage, listening, plan, signal, stats
+from ..sources.fingerprints import BINS as BINS_OF_PRINTS
+from ..sources.fingerprints import LEVELS, band_hashes
 from .scoring import PLAN_SQL, _plan
 from .views import DOCS_SQL, OBS_SQL, SIGNAL_SQL, documents, observations, rounded, table
 from .views import signal as signal_view
@@ -81,6 +83,13 @@ def fingerprint_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distances(spark, sf_dir)
 
 
+def fingerprint_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 64 levels from 0 to 31, forwards for energy and backwards for crossings, and their band hashes."""
+    level = F.transform("embedding", lambda x: F.least(F.lit(31.0), F.greatest(F.lit(0.0), F.bround((x.cast("double") + 0.5) * LEVELS, 0))))
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") == BINS_OF_PRINTS).select("vec_id", level.alias("q")).withColumn("z", F.reverse("q"))
+    return e.select("vec_id", F.array_join(band_hashes(F.col("q"), F.col("z")), "|").alias("bands"))
+
+
 def candidate_cap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred candidates, right before left, and whether the cap was reached."""
     c = corpus.blocking_candidates(_prints(spark, sf_dir))
@@ -221,7 +230,7 @@ def role_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    text_dup_cross_split, content_hash_dups, group_leakage, split_report, url_group_regex_leak, audit_stages, band_blocking_candidates, fingerprint_distance, candidate_cap_flags, cosine_pairs, multi_reference_mean,
+    text_dup_cross_split, content_hash_dups, group_leakage, split_report, url_group_regex_leak, audit_stages, band_blocking_candidates, fingerprint_distance, fingerprint_bands, candidate_cap_flags, cosine_pairs, multi_reference_mean,
     level_stats, frame_rms_zcr, pause_islands, phrase_cv, window_level_std, envelope_bins, resample_64, listening_routing, missing_ratings, listening_aggregate, krippendorff_alpha, blind_labels_hash,
     counterbalanced_schedule_hash, schedule_audit, canonical_digest, tree_digest, lineage_diff, role_compare,
 )}
@@ -259,6 +268,9 @@ select split, coalesce(r4, 'valid') reason, count(*) n from d group by all""",
     "band_blocking_candidates": f"{_CANDS} select left_id, right_id, shared from cands",
     "fingerprint_distance": f"""{_CANDS} select left_id, right_id, shared, round(0.6 * list_sum(list_transform(range(1, 33), lambda i: abs(l.embedding[i]::double - r.embedding[i]::double))) / 32 + 0.4 * list_sum(list_transform(range(33, 65), lambda i: abs(l.embedding[i]::double - r.embedding[i]::double))) / 32, 6) distance
 from cands join embeddings l on l.vec_id = left_id join embeddings r on r.vec_id = right_id""",
+    "fingerprint_bands": """with q as (select vec_id, list_transform(embedding, lambda x: least(31, greatest(0, round_even((cast(x as double) + 0.5) * 31, 0)))) q from embeddings where len(embedding) = 64),
+z as (select vec_id, q, list_reverse(q) z from q)
+select vec_id, array_to_string(list_transform(range(0, 8), lambda b: 'e' || cast(round_even(list_sum(q[b*8+1:b*8+8]) / 8 / 4, 0) as int) || ':z' || cast(round_even(list_sum(z[b*8+1:b*8+8]) / 8 / 4, 0) as int)), '|') bands from z""",
     "candidate_cap_flags": f"{_CANDS} select left_id, right_id, cast(row_number() over (order by right_id, left_id) as int) \"rank\", (select count(*) from cands) total, (select count(*) from cands) >= 100 reached from cands order by right_id, left_id limit 100",
     "cosine_pairs": "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
     "multi_reference_mean": "with r as (select label, embedding from (select *, row_number() over (partition by label order by vec_id) n from embeddings) where n <= 3) select e.vec_id, round(avg(list_cosine_similarity(e.embedding::double[], r.embedding::double[])), 6) mean_cosine, count(*) as \"references\" from embeddings e join r using (label) group by e.vec_id",
