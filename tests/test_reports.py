@@ -251,3 +251,51 @@ def test_gates(spark):
     assert loose == {("bad", "observation_schema_version_stated"), ("bad", "runtime_id_stated"), ("bad", "artifact_set_sha256_stated"), ("bad", "prosody_pause_fraction_range")}
     strict = {tuple(r) for r in failures(obs, gate_rules(obs.columns, True, True, True), "sample_id").collect()}
     assert strict - loose == {("bare", "observation_schema_version_stated"), ("bare", "seed_stated"), ("bare", "runtime_id_stated")}
+
+
+def test_command_line_reports(spark, tmp_path, capsys):
+    """From a pack to a scored, probed and rated set of samples, through files."""
+    import hashlib
+    import json
+
+    from test_plans import PACK
+
+    from timbre import cli
+
+    def run(*argv, code=0):
+        assert cli.main([*map(str, argv)], spark) == code
+        return json.loads(capsys.readouterr().out or "null")
+
+    def put(name, value):
+        (tmp_path / name).write_text(json.dumps(value))
+        return tmp_path / name
+
+    plan = run("build-generation-plan", put("pack.json", PACK), "--candidate", "b", "--candidate", "a")
+    plan_path = put("plan.json", plan)
+    (tmp_path / "audio").mkdir()
+    rows = []
+    for i, s in enumerate(plan["samples"]):
+        data = recording([(0.4, 0.3), (0.2, 0.0), (0.3 + 0.05 * i, 0.4)], rate=8000)
+        (tmp_path / "audio" / f"{i}.wav").write_bytes(data)
+        asr = {"extractor": "x", "revision": "r1"}
+        rows.append({k: s[k] for k in ("sample_id", "candidate_id", "prompt_id", "seed")} | {"requested_text": s["text"], "hypothesis_text": s["text"].upper(), "valid": True, "audio_path": f"{i}.wav", "audio_sha256": hashlib.sha256(data).hexdigest(), "evidence": {"asr": asr, "runtime": asr}, "generation_seconds": 1.0})
+    obs = put("obs.json", {"observations": rows})
+    report = run("score-objective", obs, "--generation-plan", plan_path)
+    assert {(r["candidate_id"], r["metric"], r["mean"]) for r in report["candidates"]} == {(c, m, v) for c in "ab" for m, v in (("asr_word_error_rate", 0.0), ("generation_seconds", 1.0))}
+    assert report["anchors"][0]["hit"] == 2 and report["category_binding"]["mode"] == "generation_plan"
+    results = put("results.json", run("build-prosody-proxy-results", obs, "--audio-base-dir", tmp_path / "audio", "--extractor-revision", "v1.0"))
+    done = run("apply-extractor-results", obs, results, "--audio-base-dir", tmp_path / "audio")
+    assert all(r["prosody_eligible_for_long_form"] is False and r["evidence"]["prosody_proxy"]["revision"] == "v1.0" for r in done["observations"])
+    both = run("compare-matched-prosody", put("done.json", done), plan_path, "b", "a")
+    assert {r["n"] for r in both["summary"] if r["proxy"] == "prosody_pause_fraction"} == {4}
+    run("apply-extractor-results", put("other.json", {"observations": rows[::-1]}), results, "--audio-base-dir", tmp_path / "audio", code=2)
+    labels = {"direction": "higher_is_better", "review_prompt": "how", "low_label": "bad", "high_label": "good"}
+    routing = {"routes": [{"criterion": "natural", "selector": "all_samples", **labels}, {"criterion": "names", "selector": "lexical_anchors", **labels}]}
+    assigned = put("assigned.json", run("build-listening-assignment-plan", plan_path, "--routing", put("routing.json", routing)))
+    samples = put("samples.json", [{k: r[k] for k in ("sample_id", "candidate_id", "prompt_id", "seed", "audio_path")} for r in rows])
+    pack = run("build-listening-pack", "--samples", samples, "--assignment-plan", assigned, "--rater-ids", put("raters.json", ["r1", "r2"]), "--seed", 4)
+    packet = run("export-rater-listening-packet", put("review.json", pack["review"]), "--rater-id", "r2")
+    assert len(packet["rating_order"]) == 12
+    given = {"scale": {"min": 1, "max": 5}, "presentation_log": packet["rating_order"][:1], "ratings": [packet["rating_order"][0] | {"score": 2}]}
+    run("build-rater-listening-submission", put("packet.json", packet), put("given.json", given), code=2)
+    assert run("build-rater-listening-submission", put("packet.json", packet), put("given.json", given), "--allow-incomplete")["coverage"]["missing_rating_count"] == 11

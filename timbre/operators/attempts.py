@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.identity import canonical_sha256
 from .rules import Rule, failures
@@ -20,7 +21,7 @@ DERIVED = (
 
 def with_digest(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Adds the canonical digest of an object of ``columns``; numbers print as Python prints them, and nulls are kept."""
-    out = rows.schema.add(name, "string")
+    out = StructType([*rows.schema.fields, StructField(name, StringType())])  # rows.schema itself is cached
     text = F.to_json(F.struct(*(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}).alias(c) for c in columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
