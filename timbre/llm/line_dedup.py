@@ -29,6 +29,8 @@ from .common import materialize, row_key, small
 
 #: Shorter lines match only when equal: one edit turns "12" into "13", or "no" into "so", which repeats nothing.
 MIN_CHARS = 20
+#: Bytes up to which a table of keys or places is broadcast: these tables grow with the lines, so only a trifle is.
+BROADCAST = 256 << 10
 #: Characters of a piece that emits its variants directly.
 PIECE = 128
 #: Parts into which a longer piece is taken at once.
@@ -60,7 +62,7 @@ def line_spots(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def _shared(keyed: DataFrame) -> DataFrame:
     """Rows of ``keyed`` whose key occurs more than once."""
-    return keyed.join(small(materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))), "key", "left_semi")
+    return keyed.join(small(materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")), BROADCAST), "key", "left_semi")
 
 
 def _pieces(held: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     roles = [F.max(F.when(F.col("role") == i, F.col("key"))) for i in range(len(_ROLES))]
     wanted = _shared(halves).groupBy(*_HERE).agg(F.array(*roles).alias("keys"))
     spots = wanted.groupBy(F.col("doc_id").alias("p_doc"), F.col("rk").alias("p_rk")).agg(F.collect_list(F.struct("line_no", "keys")).alias("spots"))
-    held = docs.join(small(materialize(spots)), F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("rk") == F.col("p_rk")))
+    held = docs.join(small(materialize(spots), BROADCAST), F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("rk") == F.col("p_rk")))
     held = held.select("doc_id", "rk", F.split("text", "\n").alias("all"), F.explode("spots").alias("s"))
     held = held.select(F.struct("doc_id", "rk", F.col("s.line_no").alias("line_no")).alias("pos"), F.expr("all[s.line_no]").alias("line"), F.col("s.keys").alias("keys"))
     held = materialize(held.distinct())
@@ -138,7 +140,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     here = F.struct(*_HERE)
     # lines that stand more than once, with their first place; a very common line is one row here
     again = materialize(spots.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    judged = spots.join(small(again), ["h1", "h2"], "left").withColumn("later", F.coalesce(F.col("first") < here, F.lit(False)))
+    judged = spots.join(small(again, BROADCAST), ["h1", "h2"], "left").withColumn("later", F.coalesce(F.col("first") < here, F.lit(False)))
     firsts = judged.where("not later and k0 is not null").select(*_HERE, *(f"k{i}" for i in range(len(_ROLES)))).distinct()
     return judged.where("later").select(*_HERE).unionByName(_near(docs, firsts))
 
