@@ -29,8 +29,8 @@ from .common import materialize, row_key, small
 
 #: Shorter lines match only when equal: one edit turns "12" into "13", or "no" into "so", which repeats nothing.
 MIN_CHARS = 20
-#: Bytes up to which a table of keys or places is broadcast: these tables grow with the lines, so only a trifle is.
-BROADCAST = 256 << 10
+#: Bytes up to which a table of keys or places is broadcast, after measuring; beyond that the lines are shuffled to it.
+BROADCAST = 32 << 20
 #: Characters of a piece that emits its variants directly.
 PIECE = 128
 #: Parts into which a longer piece is taken at once.
