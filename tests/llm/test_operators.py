@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -260,6 +261,65 @@ def test_topk_large_components_and_few_rows(spark):
     assert top_k(df.limit(0)).count() == 0 and top_k(df.where("vec_id = 0")).count() == 0
 
 
+def topk_brute(rows, k=5, every=50):
+    """By Python integers; rows without repeated ids."""
+    v = [(i, [math.floor(256 * x) for x in e]) for i, e in rows]
+    out = []
+    for q, a in v:
+        if q % every == 0:
+            s = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in v if i != q)[:k]
+            out += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    return sorted(out)
+
+
+def test_topk_neither_shuffles_nor_broadcasts_blocks(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    plan = top_k(df)._jdf.queryExecution().executedPlan().toString()
+    # queries x candidates bytes were shuffled before; now only the tasks' selections are
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(query_id" in plan
+
+
+@pytest.mark.parametrize("shape", ["dense", "sparse", "ties", "wide", "huge"])
+def test_topk_many_blocks_and_tiles(spark, monkeypatch, shape):
+    from timbre.llm import topk_search
+
+    monkeypatch.setattr(topk_search, "CANDIDATE_BLOCK", (1500, 1500 * 8))
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", (7, 56))
+    monkeypatch.setattr(topk_search, "QUERIES_PER_TASK", 20)
+    rng = random.Random(shape)
+    one = {
+        "dense": lambda: [rng.uniform(-1, 1) for _ in range(8)],
+        "sparse": lambda: [rng.uniform(-1, 1) if rng.random() < 0.05 else 0.0 for _ in range(rng.choice([0, 3, 8]))],
+        "ties": lambda: [0.5, -0.25] if rng.random() < 0.9 else [0.5, 0.25],
+        "wide": lambda: [rng.uniform(-1e5, 1e5) for _ in range(rng.choice([2, 9000]) if rng.random() < 0.005 else 4)],
+        "huge": lambda: [rng.uniform(-1, 1) * 10 ** rng.choice([0, 5]) for _ in range(4)],
+    }[shape]
+    rows = [(i, one()) for i in rng.sample(range(-4000, 4000), 2600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    assert sorted(tuple(r) for r in top_k(df).collect()) == topk_brute(rows)
+
+
+def test_topk_kinds_of_sums_agree():
+    from timbre.llm.topk_search import _Best, _score
+
+    rng = np.random.default_rng(4)
+    q, c = rng.integers(-50, 50, (30, 6)).astype(np.float64), rng.integers(-50, 50, (1300, 6)).astype(np.float64)
+    q_ids, c_ids = np.arange(0, 60, 2), np.sort(rng.integers(0, 2000, 1300))  # some ids are repeated
+    found = []
+    for scale in (1.0, 2.0**8, 2.0**20, 2.0**23, 2.0**40):  # 32 bit floats, 64 bit floats, 64 bit integers, Python integers, held at the limits
+        best = _Best(q_ids, 5)
+        for a in range(0, 1300, 700):
+            _score(best, q * scale, c_ids[a : a + 700], c[a : a + 700] * scale)
+        found.append(sorted(zip(best.row.tolist(), (-best.score).tolist(), best.vec.tolist(), strict=True)))
+    want = []
+    for i, own in enumerate(q_ids.tolist()):
+        want += sorted((i, -int(s), int(j)) for s, j in zip(c @ q[i], c_ids, strict=True) if j != own)[:5]
+    for scale, got in zip((1, 2**16, 2**40, 2**46), found, strict=False):
+        assert got == [(i, s * scale, j) for i, s, j in want]
+    assert len(found[-1]) == len(want) and {s for _, s, _ in found[-1]} == {1 - 2**63}
+
+
 # --- 6 mixing --------------------------------------------------------------------------------
 
 
