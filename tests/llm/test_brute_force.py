@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -68,6 +69,48 @@ def test_repeated_documents_do_not_multiply_the_sample(spark):
     assert tox.labelled(docs, labels, {"toxic": F.col("toxic")}, 10).count() == 2
 
 
+def test_the_driver_gets_models_only(spark):
+    """300 documents of 3,000 words: their pairs alone are more than 7 MB."""
+    word = lambda x: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", x), F.lit(20_000)).cast("string"))
+    docs = spark.range(300).withColumnRenamed("id", "doc_id").select("doc_id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3000)), word), " ").alias("text"))
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality", "cast(doc_id % 3 = 0 as int) toxic")
+    tracemalloc.start()
+    chain = tox.train(docs, labels, {"junk": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(len(m.weights) > 100 for m in chain) and peak < 6e6
+
+
+def test_gathered_rows_fit_like_all_pairs_at_once(monkeypatch):
+    """Any dealing into batches and any length of parts gives the same models, to the bit."""
+    rng = np.random.default_rng(1)
+    ids, ys = np.sort(rng.integers(-40, 40, 60)), rng.integers(0, 2, (60, 2))
+    order = np.lexsort((ys[:, 1], ys[:, 0], ids))
+    ids, ys = ids[order], ys[order]
+    lists = [np.unique(rng.integers(0, 30, n) * (1 << 40) + y[0]).tolist() for n, y in zip(rng.integers(0, 20, 60), ys, strict=True)]
+    for i in range(1, 60):  # rows that agree in id and labels hold the same text
+        if ids[i] == ids[i - 1] and (ys[i] == ys[i - 1]).all():
+            lists[i] = lists[i - 1]
+    doc, feature = np.repeat(np.arange(60), [len(x) for x in lists]), np.array([f for x in lists for f in x], np.int64)
+    want = tox.fit_chain(doc, feature, {"a": ys[:, 0], "b": ys[:, 1]})
+    assert any(m.weights for m in want)
+    monkeypatch.setattr(tox, "PAIRS_AT_ONCE", 7)
+    for n in (1, 3, 60):
+        dealt = np.array_split(rng.permutation(60), n)
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(ys[k, 0], pa.int32()), pa.array(ys[k, 1], pa.int32()), pa.array([lists[i] for i in k], pa.list_(pa.int64()))], names=["doc_id", "y_0", "y_1", "features"]) for k in dealt]
+        held, d, f, names = tox.gathered(iter(batches), 2)
+        assert d.dtype == f.dtype == np.int32 and (names[f] == feature).all() and (d == doc).all() and (held == ys).all()
+        assert tox.fit_chain(d, f, {"a": held[:, 0], "b": held[:, 1]}, names=names) == want
+    assert [len(x) for x in tox.gathered(iter([]), 2)] == [0] * 4
+
+
+def test_labelled_texts_without_words(spark):
+    docs = spark.createDataFrame([(i, " ") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(6)], "doc_id long, quality int, toxic int")
+    assert [(m.weights, len(m.earlier)) for m in tox.train(docs, labels, {"junk": 1 - F.col("quality"), "toxic": F.col("toxic")})] == [({}, 0), ({}, 1)]
+    assert [(m.name, m.weights, m.bias) for m in tox.train(docs, labels.limit(0), {"junk": F.col("quality"), "toxic": F.col("toxic")})] == [("junk", {}, -10.0), ("toxic", {}, -10.0)]
+
+
 # --- 4 packing -------------------------------------------------------------------------------
 
 

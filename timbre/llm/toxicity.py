@@ -6,7 +6,8 @@ categories before it; in training those are out-of-fold predictions, so that a
 later model sees earlier probabilities as good, or as bad, as it will meet them.
 
 Models are fitted on a bounded sample of labelled rows (``train_rows``, those
-least by a hash of the id); every document is scored, over its whole text.
+least by a hash of the id), in one task of an executor; the driver gets the
+finished models only.  Every document is scored, over its whole text.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import bounded_batches, slices, split_words
 TRAIN_ROWS = 6000
 FOLDS = 4
 KEEP_FEATURES = 3000
+#: (document, feature) pairs that the fit looks at together; its temporary arrays are of that length.
+PAIRS_AT_ONCE = 1 << 20
 _STRIP = ".,;:!?\"'()[]{}<>|*_-«»¿¡…"
 
 
@@ -85,22 +88,30 @@ def _fit(doc: np.ndarray, feature: np.ndarray, n_features: int, extra: np.ndarra
     """Logistic regression on ``rows``: the ``keep`` features of the largest chi-square, by accelerated gradient steps."""
     inside = np.zeros(len(y), bool)
     inside[rows] = True
-    use = inside[doc]
-    d, f = doc[use], feature[use]
     n, pos = len(rows), y[rows].sum()
-    total = np.bincount(f, minlength=n_features).astype(float)
-    hits = np.bincount(f, weights=y[d], minlength=n_features)
+    total, hits = np.zeros(n_features), np.zeros(n_features)
+    # counts are whole numbers, so their sums do not depend on the parts
+    step = max(PAIRS_AT_ONCE, n_features)
+    parts = [slice(i, i + step) for i in range(0, len(doc), step)]
+    for part in parts:
+        use = inside[doc[part]]
+        d, f = doc[part][use], feature[part][use]
+        total += np.bincount(f, minlength=n_features)
+        hits += np.bincount(f, weights=y[d], minlength=n_features)
     expect = total * pos / max(n, 1)
     chi = np.where(total >= 2, (hits - expect) ** 2 / np.maximum(expect * (1 - total / max(n, 1)), 1e-9), 0)
     chosen = np.argsort(-chi, kind="stable")[:keep]
     chosen = chosen[chi[chosen] > 3.8]
     new = np.full(n_features, -1)
     new[chosen] = np.arange(len(chosen))
-    f = new[f]
-    d, f = d[f >= 0], f[f >= 0]
     row = np.full(len(y), -1)
     row[rows] = np.arange(n)
-    d = row[d]
+    held = []
+    for part in parts:
+        f = new[feature[part]]
+        use = (f >= 0) & inside[doc[part]]
+        held.append((row[doc[part][use]], f[use]))
+    d, f = (np.concatenate([h[i] for h in held] or [np.zeros(0, np.int64)]) for i in (0, 1))
     x, t, m = extra[rows], y[rows], len(chosen)
     theta = np.zeros(m + x.shape[1] + 1)
     rate = pos / max(n, 1)
@@ -119,15 +130,17 @@ def _fit(doc: np.ndarray, feature: np.ndarray, n_features: int, extra: np.ndarra
 
 def _predict(doc, feature, n_features, extra, n, model) -> np.ndarray:
     chosen, w, e, bias = model
-    full = np.zeros(n_features)
-    full[chosen] = w
-    return _sigmoid(np.bincount(doc, weights=full[feature], minlength=n) + extra @ e + bias)
+    full, taken = np.zeros(n_features), np.zeros(n_features, bool)
+    full[chosen], taken[chosen] = w, True
+    hit = taken[feature]
+    return _sigmoid(np.bincount(doc[hit], weights=full[feature[hit]], minlength=n) + extra @ e + bias)
 
 
-def fit_chain(doc: np.ndarray, feature: np.ndarray, labels: dict[str, np.ndarray], folds: int = FOLDS, keep: int = KEEP_FEATURES) -> list[Linear]:
-    """Models of the categories in ``labels`` (0/1 arrays), in that order, from (document, feature) pairs."""
+def fit_chain(doc: np.ndarray, feature: np.ndarray, labels: dict[str, np.ndarray], folds: int = FOLDS, keep: int = KEEP_FEATURES, names: np.ndarray | None = None) -> list[Linear]:
+    """Models of the categories in ``labels`` (0/1 arrays), in that order, from (document, feature) pairs; with ``names``, sorted, ``feature`` holds places in it."""
     n = len(next(iter(labels.values())))
-    names, feature = np.unique(feature, return_inverse=True)
+    if names is None:
+        names, feature = np.unique(feature, return_inverse=True)
     fold = np.arange(n) % folds
     extra, out = np.zeros((n, 0)), []
     for name, y in labels.items():
@@ -152,11 +165,39 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     return texts.join(F.broadcast(sample), "doc_id")
 
 
+def gathered(batches: Iterator[pa.RecordBatch], n_labels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (doc_id, y_0.., features) of all batches, by id and labels: (rows, ``n_labels``) labels; document and feature of each pair, the latter as a place in the last array, the sorted features.
+
+    A pair takes 8 bytes; the features themselves are held once for each batch.
+    """
+    keys, sizes, parts = [], [], []
+    for batch in batches:
+        lists = batch.column("features")
+        known, code = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        parts.append((known, code.astype(np.int32)))
+        sizes.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        keys.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(n_labels + 1)], axis=1))
+    if not keys:
+        return np.zeros((0, n_labels), np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    keys, sizes = np.concatenate(keys), np.concatenate(sizes)
+    names = np.unique(np.concatenate([known for known, _ in parts]))
+    codes = np.concatenate([np.searchsorted(names, known).astype(np.int32)[code] for known, code in parts])
+    del parts
+    order = np.lexsort(keys.T[::-1])
+    ends = np.cumsum(sizes)
+    feature = np.concatenate([codes[ends[i] - sizes[i] : ends[i]] for i in order])
+    return keys[order, 1:], np.repeat(np.arange(len(order), dtype=np.int32), sizes[order]), feature, names
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = TRAIN_ROWS) -> list[Linear]:
-    """Fit the chain on at most ``rows`` labelled documents; ``categories`` maps names to 0/1 expressions over ``labels``."""
+    """Fit the chain on at most ``rows`` labelled documents; ``categories`` maps names to 0/1 expressions over ``labels``.
+
+    Features are taken in many tasks and fitted in one; what comes to the driver is at most ``KEEP_FEATURES`` weights for each category.
+    """
     held = labelled(docs, labels, categories, rows)
     names = [f"y_{i}" for i in range(len(categories))]
     schema = pa.schema([pa.field("doc_id", pa.int64()), *(pa.field(c, pa.int32()) for c in names), pa.field("features", pa.list_(pa.int64()))])
+    model = pa.schema([pa.field("place", pa.int32()), pa.field("features", pa.list_(pa.int64())), pa.field("weights", pa.list_(pa.float64())), pa.field("earlier", pa.list_(pa.float64())), pa.field("bias", pa.float64())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,16 +207,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], row
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(feature))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), *(batch.column(c)[a:b] for c in names), lists], schema=schema)
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ys, doc, feature, known = gathered(batches, len(names))
+        if len(ys):
+            chain = fit_chain(doc, feature, {c: ys[:, i] for i, c in enumerate(names)}, names=known)
+            columns = [range(len(chain)), [list(m.weights) for m in chain], [list(m.weights.values()) for m in chain], [m.earlier for m in chain], [m.bias for m in chain]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, model, strict=True)], schema=model)
+
     got = held.select("doc_id", *names, "text").mapInArrow(extract, f"doc_id long, {', '.join(f'{c} int' for c in names)}, features array<long>")
-    table = got.toArrow().sort_by([("doc_id", "ascending"), *((c, "ascending") for c in names)])
-    lists = table["features"].combine_chunks()
-    n = table.num_rows
-    if not n:
+    fitted = sorted(got.repartition(1).mapInArrow(fit, "place int, features array<long>, weights array<double>, earlier array<double>, bias double").collect(), key=lambda r: r["place"])
+    if not fitted:
         return [Linear(c, {}, [0.0] * i, -10.0) for i, c in enumerate(categories)]
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    feature = lists.flatten().to_numpy(zero_copy_only=False)
-    ys = {c: table[f"y_{i}"].to_numpy() for i, c in enumerate(categories)}
-    return fit_chain(np.repeat(np.arange(n), sizes), feature, ys)
+    return [Linear(c, dict(zip(r["features"], r["weights"], strict=True)), r["earlier"], r["bias"]) for c, r in zip(categories, fitted, strict=True)]
 
 
 def score_texts(texts: pa.Array, chain: list[Linear], known: dict[int, int], weights: np.ndarray) -> np.ndarray:
